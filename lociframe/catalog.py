@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
+from .operators.common import ship
+from .plans import build_queries, call_queries, sequence_queries
+
+_MODULES = (sequence_queries, call_queries, build_queries)
+
+
+def _shipped(query):
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    run.__name__, run.__doc__ = query.__name__, query.__doc__
+    return run
 
 
 def queries():
-    return _QUERIES
+    return {name: _shipped(q) for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return _SQL
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
