@@ -480,48 +480,105 @@ def phred(best: float, second: float) -> int:
 
 
 CALLS = "sample string, gene string, num_alleles int, allele1 string, abundance1 double, quality1 int, allele2 string, abundance2 double, quality2 int, secondary string"
-
-
-def genotype(read_hits: DataFrame, alleles: DataFrame, options: Options = Options()) -> DataFrame:
-    """Calls per sample and gene from read_hits (sample, read_id, seq_idx, start, end, weight, qual, adjust).
-
-    alleles (seq_idx, name, gene, major, length, weight, missing, consensus, null, exonic) is the reference panel, which
-    every worker holds. Reads are first collapsed to groups per sample in a distributed aggregation; a sample's groups,
-    few by then, meet in one task.
-    """
+CHOSEN = "sample string, gene string, seq_idx long, name string, quality int, abundance double, ec_abundance double"
+METRICS = (
+    "sample string, gene string, allele_rank int, seq_idx long, allele string, abundance double, balance_ratio double, missing_cov int, gt_quality int, runnerup_abundance double, "
+    "q_gap int, q_min int, locus_gq_min int, ec_set_size int, identifiability double, ec_ambiguity_entropy double, series_set string"
+)
+
+
+def call_rows(s: Sample, sample: str) -> list[tuple]:
+    """One row per gene in the order of CALLS."""
+    out = []
+    for g, gene in enumerate(s.genes):
+        n, a, b, more = s.describe(g)
+        x, y = a.split("\t"), b.split("\t")
+        out.append((sample, gene, n, x[0], float(x[1]), int(x[2]), y[0], float(y[1]), int(y[2]), more))
+    return out
+
+
+def chosen_rows(s: Sample, sample: str, ids: list[int]) -> list[tuple]:
+    """The representative alleles in the order of CHOSEN."""
+    return [(sample, gene, ids[a], s.alleles[a].name, s.alleles[a].quality, s.alleles[a].abundance, s.alleles[a].ec_abundance) for g, gene in enumerate(s.genes) for a in s.representatives(g)]
+
+
+def metric_rows(s: Sample, sample: str, ids: list[int]) -> list[tuple]:
+    """Per gene and rank 0 and 1 the most abundant allele's figures, in the order of METRICS."""
+    out = []
+    for g, gene in enumerate(s.genes):
+        total = [*s.rank_abundance(g), 0.0, 0.0, 0.0]
+        two = s.types(g) > 1
+        high, low = max(total[:2]), min(total[:2])
+        balance = low / high if two and high > 0 else 1.0
+        best = {}
+        for rank in (0, 1):
+            own = [a for a, r in s.selected[g] if r == rank]
+            if own:
+                best[rank] = min(own, key=lambda a: (-s.alleles[a].ec_abundance, a))
+        locus = min((s.alleles[a].quality for a in best.values()), default=-1)
+        for rank, a in best.items():
+            x, members = s.alleles[a], s.classes[s.alleles[a].ec]
+            out.append(
+                (sample, gene, rank, ids[a], x.name, x.abundance, balance, x.missing, x.quality, total[2], x.phred, min(x.quality, x.phred), locus,
+                 len(members), 1 / len(members), s.class_entropy(a), ";".join(s.alleles[m].major for m in members))
+            )
+    return out
+
+
+def read_groups(read_hits: DataFrame) -> DataFrame:
+    """(sample, read_id, seq_idx, qual, start, end, weight, adjust): reads with the same alleles and qualities as one group, known by its first read."""
     from pyspark.sql import functions as F
 
-    common.ship(read_hits.sparkSession)
-    panel = alleles.orderBy("seq_idx").toPandas()
-    shared = read_hits.sparkSession.sparkContext.broadcast(panel)
     per_read = read_hits.groupBy("sample", "read_id").agg(F.sort_array(F.collect_list(F.struct("seq_idx", "qual", "start", "end", "weight", "adjust"))).alias("hits"))
     key = F.transform("hits", lambda h: F.struct(h["seq_idx"].alias("seq_idx"), h["qual"].alias("qual")))
-    at = F.posexplode("hits").alias("k", "h")
-    rows = per_read.withColumn("key", key).select("sample", "read_id", "key", at)
+    rows = per_read.withColumn("key", key).select("sample", "read_id", "key", F.posexplode("hits").alias("k", "h"))
     best = F.col("h.qual") == 1
     groups = rows.groupBy("sample", "key", "k").agg(
         F.min("read_id").alias("read_id"), F.min_by(F.struct("h.start", "h.end"), "read_id").alias("first"),
         F.min(F.when(best, F.col("h.start"))).alias("start"), F.min(F.when(best, F.col("h.end"))).alias("end"),
         F.sum("h.weight").alias("weight"), F.sum("h.adjust").alias("adjust"),
     )
-    groups = groups.select(
-        "sample", "read_id", F.col("key")[F.col("k")]["seq_idx"].alias("seq_idx"), F.col("key")[F.col("k")]["qual"].cast("double").alias("qual"),
-        F.coalesce("start", "first.start").alias("start"), F.coalesce("end", "first.end").alias("end"), "weight", "adjust",
-    )
+    at = F.col("key")[F.col("k")]
+    return groups.select(
+        "sample", "read_id", at["seq_idx"].alias("seq_idx"), at["qual"].cast("double").alias("qual"), F.coalesce("start", "first.start").alias("start"), F.coalesce("end", "first.end").alias("end"), "weight", "adjust"
+    )
+
+
+def genotype(read_hits: DataFrame, alleles: DataFrame, options: Options = Options(), similarity: dict | None = None, missing: DataFrame | None = None, output: str = "calls") -> DataFrame:
+    """Calls, representative alleles (chosen) or metrics per sample, from read_hits (sample, read_id, seq_idx, start, end, weight, qual, adjust).
+
+    alleles (seq_idx, name, gene, major, length, weight, missing, consensus, null, exonic) is the reference panel, which
+    every worker holds; similarity maps pairs of genes to the share of the first one's k-mers that the second has;
+    missing (sample, seq_idx, missing) replaces the panel's numbers of uncovered bases. Reads are first collapsed to
+    groups per sample in a distributed aggregation; a sample's groups, few by then, meet in one task.
+    """
+    from pyspark.sql import functions as F
+
+    common.ship(read_hits.sparkSession)
+    panel = alleles.orderBy("seq_idx").toPandas()
+    shared = read_hits.sparkSession.sparkContext.broadcast((panel, similarity or {}))
+    schema = {"calls": CALLS, "chosen": CHOSEN, "metrics": METRICS}[output]
+    groups = read_groups(read_hits)
+    if missing is not None:
+        per_sample = missing.groupBy(F.col("sample").alias("s")).agg(F.map_from_entries(F.collect_list(F.struct("seq_idx", "missing"))).alias("uncovered"))
+        groups = groups.join(per_sample, F.col("sample") == F.col("s"), "left").drop("s")
+    else:
+        groups = groups.withColumn("uncovered", F.lit(None).cast("map<bigint,int>"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = shared.value
-        place = {s: i for i, s in enumerate(own["seq_idx"])}
-        found = [Allele(r.name, r.gene, r.major, int(r.length), int(r.weight), int(r.missing), int(r.consensus), bool(r.null), r.exonic) for r in own.drop(columns="seq_idx").itertuples(index=False)]
+        own, alike = shared.value
+        ids = [int(x) for x in own["seq_idx"]]
+        place = {s: i for i, s in enumerate(ids)}
+        bare = dict(pdf["uncovered"].iloc[0]) if pdf["uncovered"].iloc[0] is not None else {}
+        found = [Allele(r.name, r.gene, r.major, int(r.length), int(r.weight), int(bare.get(r.seq_idx, r.missing)), int(r.consensus), bool(r.null), r.exonic) for r in own.itertuples(index=False)]
         groups: dict[int, dict[int, Hit]] = {}
         for r in pdf.sort_values(["read_id", "seq_idx"]).itertuples(index=False):
             groups.setdefault(r.read_id, {})[place[r.seq_idx]] = Hit(int(r.start), int(r.end), np.float32(r.weight), float(r.qual), np.float32(r.adjust))
-        s = Sample(found, list(groups.values()), options).call()
-        out = []
-        for g, gene in enumerate(s.genes):
-            n, a, b, more = s.describe(g)
-            x, y = a.split("\t"), b.split("\t")
-            out.append((pdf["sample"].iloc[0], gene, n, x[0], float(x[1]), int(x[2]), y[0], float(y[1]), int(y[2]), more))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CALLS.split(", ")])
-
-    return groups.groupBy("sample").applyInPandas(run, CALLS)
+        names = list(dict.fromkeys(own["gene"]))
+        matrix = np.array([[1.0 if a == b else alike.get((a, b), 0.0) for b in names] for a in names])
+        s = Sample(found, list(groups.values()), options, matrix).call()
+        name = pdf["sample"].iloc[0]
+        rows = call_rows(s, name) if output == "calls" else chosen_rows(s, name, ids) if output == "chosen" else metric_rows(s, name, ids)
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return groups.groupBy("sample").applyInPandas(run, schema)

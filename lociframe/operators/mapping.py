@@ -120,3 +120,33 @@ def exon_cells(piled: DataFrame, alleles: DataFrame) -> DataFrame:
     at = alleles.select("seq_idx", "seq", "exons", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos"))
     own = at.where(S.in_exon(F.col("pos"), F.col("exons"))).select("seq_idx", "pos", F.substring(F.col("seq"), F.col("pos") + 1, F.lit(1)).alias("base"))
     return own.join(piled, ["seq_idx", "pos", "base"], "left").select("seq_idx", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def sample_pileup(reads: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11, similarity: float = 0.8) -> DataFrame:
+    """(sample, seq_idx, pos, base, depth) of reads (sample, seq): cells of a distinct sequence are made once and joined to its samples."""
+    common.ship(reads.sparkSession)
+    rows = alleles.orderBy("seq_idx").select("seq_idx", "seq").collect()
+    shared = reads.sparkSession.sparkContext.broadcast(([r.seq_idx for r in rows], [r.seq for r in rows]))
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, seqs = shared.value
+        index = align.Index(seqs, k)
+        for batch in batches:
+            out = [(seq, ids[i], at, base) for seq in batch.column("seq").to_pylist() for i, at, base in align.assign(index, seq, hit_length, similarity)[1]]
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["key", "seq_idx", "pos", "base"])
+
+    cells = reads.select("seq").where(F.length("seq") >= k).distinct().mapInArrow(run, "key string, seq_idx long, pos int, base string")
+    n = reads.groupBy("sample", F.col("seq").alias("key")).agg(F.count("*").alias("n"))
+    return cells.join(n, "key").groupBy("sample", "seq_idx", "pos", "base").agg(F.sum("n").alias("depth"))
+
+
+def exon_cells_by_sample(piled: DataFrame, alleles: DataFrame) -> DataFrame:
+    """(sample, seq_idx, depth): one row per sample, allele and exon position with the depth of its own base."""
+    at = alleles.select("seq_idx", "seq", "exons", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos"))
+    own = at.where(S.in_exon(F.col("pos"), F.col("exons"))).select("seq_idx", "pos", F.substring(F.col("seq"), F.col("pos") + 1, F.lit(1)).alias("base"))
+    # every sample is asked for every position of the panel
+    asked = piled.select("sample").distinct().crossJoin(common.small(own))
+    return asked.join(piled, ["sample", "seq_idx", "pos", "base"], "left").select("sample", "seq_idx", F.coalesce("depth", F.lit(0)).alias("depth"))

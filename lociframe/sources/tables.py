@@ -32,7 +32,7 @@ def read_copies(spark: SparkSession, path: str) -> DataFrame:
 
     Slots after the second read the second's columns again; a slot with a number that can't be read is left out.
     """
-    rows = numbered(spark, path).select(variants.sample_name(F.col("file")).alias("sample"), "n", F.split(F.trim("line"), r"\s+").alias("f"))
+    rows = numbered(spark, path).select(variants.sample_name(F.col("file")).alias("sample"), "n", F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+").alias("f"))
     rows = rows.withColumn("k", F.expr("try_cast(get(f, 1) AS int)")).where("k IS NOT NULL AND k > 0")
     own = rows.select("sample", F.col("f")[0].alias("gene"), "n", "f", F.explode(F.sequence(F.lit(1), "k")).alias("slot"))
     at = F.when(F.col("slot") == 1, 2).otherwise(5)
