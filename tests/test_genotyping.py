@@ -123,6 +123,27 @@ def test_affine_alignment():
             assert ops_score(ops, a, b) >= plain_score(a, b) - 4
 
 
+@pytest.mark.parametrize(
+    "allele, read, band, want",
+    [
+        # fixed values: expected operations of single cases
+        ("ACGTACGTACGTACGT", "ACGTACCGTACGTACGTACGT", 5, "022222000000000000000"),
+        ("ACGTACCGTACGTACGTACGT", "ACGTACGTACGTACGT", 5, "033333000000000000000"),
+        ("ACGTACGTTTACGTACGTACGGGTACGT", "ACGAACGTACGTACGCACGTACGT", 5, "0001000330000000010033000000"),
+        ("ACGTNACGTACGT", "ACGTAACGTNCGT", 5, "0000000000000"),
+        ("ACGTACGTAACGTACGTACGTACGT", "ACGTACGTACGTACGTACGTACGT", 2, "0000000030000000000000000"),
+        ("AAAAAAAAAAAAAAAA", "AAAAAAAAAAAAAAAAA", 1, "02000000000000000"),
+        ("ACGTACGT", "ACGTACGTACGTACGTACGT", 5, "02222222222220000000"),
+        ("ACGTACGTACGTACGTACGT", "ACGTACGT", 5, "03333333333330000000"),
+        ("GGGGGGGGG", "G", 5, "033333333"),
+        ("AC", "AG", 5, "01"),
+    ],
+)
+def test_alignment_cases(allele, read, band, want):
+    got = "".join(map(str, align.align(allele, read, band)))
+    assert got == want
+
+
 def test_increasing_run():
     r = random.Random(2)
     for _ in range(200):
