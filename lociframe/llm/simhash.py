@@ -17,8 +17,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import components as graph
 from . import common as C
-from . import graph
 
 RADIUS = 3
 #: distinct fingerprints that are compared within one row, at most
