@@ -56,7 +56,7 @@ def word_counts(texts: DataFrame, most: int = 150_000) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
         c: Counter = Counter()
-        for batch in batches:
+        for batch in C.sliced(batches):
             for text in batch.column(0).to_pylist():
                 c.update(text.lower().split())
                 if len(c) > most:
@@ -78,7 +78,7 @@ def transitions(texts: DataFrame, unit: dict[bytes, int], units: int):
         total = np.zeros(units * units, np.int64)
         look = unit_lookup(shared.value)
         memo: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in C.sliced(batches):
             ids = [END]
             for text in batch.column(0).to_pylist():
                 ids += look(text.lower().split(), memo)
@@ -194,20 +194,20 @@ def learn(texts: DataFrame, p: Params = Params()) -> Model:
     n_texts = texts.count()
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, types = size.n + n_texts, size.v + (n_texts > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(p.known).collect()
+    top = sorted(C.most_frequent(counts, "n", p.known).collect(), key=lambda r: (-r.n, r.word))
     known = {bytes(r.word): r.n for r in top}
     own_words = [bytes(r.word) for r in top[: p.words]]
     unit = {w + b" ": 2 + i for i, w in enumerate(own_words)}
     # endings of the words that have no unit: at most 2**24 sums, of which the most frequent are taken
     n_own = {w: known[w] for w in own_words}
     by_end = counts.groupBy(F.expr("substring(word, -3, 3)").alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
-    ends = by_end.orderBy(F.desc("n"), "e").limit(2 * p.units).collect()
+    ends = C.most_frequent(by_end, "n", 4 * p.units).collect()
     minus_n, minus_v = Counter(), Counter()
     for w, n in n_own.items():
         minus_n[ending(w)] += n
         minus_v[ending(w)] += 1
     left = sorted(((r.n - minus_n[bytes(r.e)], r.v - minus_v[bytes(r.e)], bytes(r.e)) for r in ends), key=lambda x: (-x[0], x[2]))
-    unit_n, unit_v = [n_texts, 0, *n_own.values()], [1, 0, *(1 for _ in own_words)]
+    unit_n, unit_v = [n_texts, 0, *n_own.values()], [int(n_texts > 0), 0, *(1 for _ in own_words)]
     for n, v, e in left[: p.units - len(unit_n)]:
         if n > 0:
             unit[e] = len(unit_n)
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         own_log = {w: math.log10(n + 1) for w, n in m.known.items()}
         get = own_log.get
         names = ["rid", "word", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-        for batch in batches:
+        for batch in C.sliced(batches):
             rid, word, tf, rows = [], [], [], []
             for r, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = text.lower().split()

@@ -19,6 +19,9 @@ def ship(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+    # texts are long rows: the default of 10,000 would put tens of MB into each batch, several times over
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,25 +71,71 @@ def as_bytes(col: Column) -> Column:
     return F.coalesce(col.cast("string").cast("binary"), F.lit(b""))
 
 
-def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int, per_class: bool = True) -> DataFrame:
-    """At most `limit` labelled texts per class (or in all), chosen by a hash of the id among every usable label row.
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in parts of at most `rows` rows, which bounds the Python objects alive at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
+def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most `limit` rows with distinct keys, chosen by the key's hash, alike at every size.
+
+    No task sends more than counts of 1024 hash bins to the driver, however many tasks there are.
+    """
+    n = df.count()
+    if n <= limit:
+        return df
+    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n * 1024 // limit))
+    own = df.where(place < 1024)
+    total, cut = 0, 0
+    for r in sorted(own.groupBy(place.alias("b")).count().collect(), key=lambda r: r.b):
+        if total + r["count"] > limit:
+            break
+        total, cut = total + r["count"], r.b + 1
+    return own.where(place < cut)
+
+
+def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows with the largest counts, at most `limit` of them: those above a threshold.
+
+    The threshold comes from a histogram of counts (single numbers up to 1023, then 64 bins a doubling), whose size does
+    not depend on the data; a top-k would send k rows of every task to the driver.
+    """
+    n = F.col(count)
+    place = F.when(n < 1024, n).otherwise(384 + F.floor(64 * F.log2(n.cast("double")))).cast("int")
+    total, cut = 0, None
+    for r in sorted(df.groupBy(place.alias("b")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.b):
+        if total + r.k > limit:
+            break
+        total, cut = total + r.k, r.b
+    return df.where(place >= cut) if cut is not None else df.limit(0)
+
+
+def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int) -> tuple[DataFrame, dict[int, int]]:
+    """At most `limit` labelled texts per class (__id, __text, __y), and how many each class has in all; chosen by a hash of the id among every usable label row.
 
     The choice is made on the narrow label table, so `limit` bounds what is broadcast to the scan of the texts. An id
-    with several label rows takes its largest label; rows with a null id or label are ignored.
+    with several label rows takes its largest label, one with several texts the smallest; rows with a null id or label
+    are ignored.
     """
     own = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y")).where(
         F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & usable
     )
-    own = own.groupBy("__id").agg(F.max("__y").alias("__y"))
-    order = [F.xxhash64(F.col("__id").cast("string")), F.col("__id")]
-    if per_class:
-        parts = [own.where(F.col("__y") == y).orderBy(*order).limit(limit) for y in (0, 1)]
-        own = parts[0].unionByName(parts[1])
-    else:
-        own = own.orderBy(*order).limit(limit)
-    texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    # `limit` rows of two numbers: bounded by the parameter, not by the data
-    return texts.join(F.broadcast(own), "__id").select("__id", as_bytes(F.col("__text")).alias("__text"), "__y")
+    own = stored(own.groupBy("__id").agg(F.max("__y").alias("__y")), "labelled")
+    chosen = bounded_sample(own.where("__y = 0"), "__id", limit).unionByName(bounded_sample(own.where("__y = 1"), "__id", limit))
+    texts = docs.select(F.col("doc_id").alias("__id"), as_bytes(F.col("text")).alias("__text"))
+    # 2 * limit rows of two numbers: bounded by the parameter, not by the data
+    sizes = {r["__y"]: r["count"] for r in own.groupBy("__y").count().collect()}
+    return texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).select("__id", "__text", "__y"), sizes
+
+
+def prior_shift(y, sizes: dict[int, int]) -> float:
+    """What a curve fitted on labels y must be raised by, so that it holds for classes of these sizes."""
+    import math
+
+    ones = float(sum(y))
+    return math.log((sizes[1] / sizes[0]) / (ones / (len(y) - ones)))
 
 
 def fit_logistic(x, y, l2: float = 1e-3, rounds: int = 50):

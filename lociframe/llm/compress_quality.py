@@ -25,6 +25,9 @@ class Params:
     level: int = 3
 
 
+N_FEATURES = 4
+
+
 class Compressor:
     """Sizes of a text under both dictionaries; dictionaries are prepared once per process."""
 
@@ -48,12 +51,14 @@ class Compressor:
             self._ready = ready
         return len(ready[0].compress(text)), len(ready[1].compress(text))
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
-        """Normalised difference (positive: the good dictionary fits better), difference per byte, compression ratio."""
+    def features(self, text: bytes) -> tuple[float, ...]:
+        """Differences of the sizes (positive: the good dictionary fits better): over their sum, per byte and per root of
+        the bytes, as the noise of short texts is larger; and the better compression ratio."""
         if not text:
-            return 0.0, 0.0, 0.0
+            return (0.0,) * N_FEATURES
         g, b = self.sizes(text)
-        return 20 * (b - g) / (b + g), 20 * (b - g) / (len(text) + 20), min(g, b) / (len(text) + 20)
+        n = len(text) + 20
+        return 20 * (b - g) / (b + g), 20 * (b - g) / n, max(-5.0, min(5.0, (b - g) / math.sqrt(n))), min(g, b) / n
 
     def probability(self, text: bytes) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text), strict=False))
@@ -87,7 +92,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
     """Fit on at most 2 * max_per_class labelled texts; with a single class or none, every text gets that class (none: good)."""
     import numpy as np
 
-    rows = C.sampled_texts(docs, labels, "quality", usable, p.max_per_class).withColumn(
+    rows, sizes = C.sampled_texts(docs, labels, "quality", usable, p.max_per_class)
+    rows = rows.withColumn(
         "__dict", F.crc32(F.concat(F.lit("part "), F.col("__id").cast("string")).cast("binary")) % 2 == 0
     )
     # the driver takes bounded parts of a bounded number of texts for the dictionaries
@@ -95,11 +101,12 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
         F.concat(*(F.expr(f"substring(__text, {s}, {p.sample_bytes // 3})") for s in ("1", "cast(length(__text) / 2 as int)", f"-{p.sample_bytes // 3}")))
     )
     rows = C.stored(rows, "quality-sample")
-    sample = rows.where("__dict").select(own.alias("t"), "__y", "__id").orderBy("__id").limit(2 * p.max_per_class).collect()
+    sample = rows.where("__dict").select(own.alias("t"), "__y", "__id").collect()  # 2 * max_per_class rows at most
+    sample.sort(key=lambda r: r["__id"])
     by = {y: [bytes(r.t) for r in sample if r["__y"] == y and r.t] for y in (0, 1)}
     out = Compressor(train(by[1], p), train(by[0], p), p.level)
     if not (by[0] and by[1]):
-        out.weights = (5.0 if by[1] or not by[0] else -5.0, 0.0, 0.0, 0.0)
+        out.weights = (5.0 if by[1] or not by[0] else -5.0, *[0.0] * N_FEATURES)
         C.dropped(rows)
         return out
     shared = docs.sparkSession.sparkContext.broadcast(out)
@@ -109,11 +116,16 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
 
         for batch in batches:
             x = [shared.value.features(t) for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([v[i] for v in x], pa.float64()) for i in range(3)), batch.column("__y")], ["a", "b", "c", "y"])
-
-    held = rows.where("not __dict").select("__text", "__y").mapInArrow(measure, "a double, b double, c double, y int").collect()  # 2 * max_per_class rows at most
-    x, y = np.array([[r.a, r.b, r.c] for r in held]).reshape(-1, 3), np.array([float(r.y) for r in held])
-    out.weights = tuple(map(float, C.fit_logistic(x, y))) if len(set(y)) == 2 else (0.0, 5.0, 0.0, 0.0)
+            yield pa.RecordBatch.from_arrays([*(pa.array([v[i] for v in x], pa.float64()) for i in range(N_FEATURES)), batch.column("__y")], [*names, "y"])
+
+    names = [f"x{i}" for i in range(N_FEATURES)]
+    held = rows.where("not __dict").select("__text", "__y").mapInArrow(measure, ", ".join(f"{n} double" for n in names) + ", y int").collect()  # 2 * max_per_class rows at most
+    x, y = np.array([[r[i] for i in range(N_FEATURES)] for r in held]).reshape(-1, N_FEATURES), np.array([float(r.y) for r in held])
+    if len(set(y)) == 2:
+        w = C.fit_logistic(x, y)
+        out.weights = (float(w[0]) + C.prior_shift(y, sizes), *map(float, w[1:]))
+    else:
+        out.weights = (0.0, 5.0, *[0.0] * (N_FEATURES - 1))
     C.dropped(rows)
     return out
 

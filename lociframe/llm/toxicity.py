@@ -25,7 +25,7 @@ PREFIXES = (8, 7, 6, 5, 4)
 class Params:
     #: labelled documents per class that the model is fitted on, at most
     max_per_class: int = 6000
-    #: tokens that may enter the broadcast table, at most (by significance)
+    #: tokens that may enter the broadcast table, at most (those of most toxic documents)
     max_tokens: int = 100_000
     strength: float = 4.0
     min_docs: int = 5
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
     """Fit on labelled rows for which `usable` (a condition on __id) holds; without both labels nothing scores over 0.5."""
     import numpy as np
 
-    sample = C.sampled_texts(docs, labels, "toxic", usable, p.max_per_class)
+    sample, of_class = C.sampled_texts(docs, labels, "toxic", usable, p.max_per_class)
     part = F.crc32(F.concat(F.lit("part "), F.col("__id").cast("string")).cast("binary")) % 3
     sample = C.stored(sample.withColumn("__cal", part == 0), "toxicity-sample")
     sizes = {(r["__cal"], r["__y"]): r["count"] for r in sample.groupBy("__cal", "__y").count().collect()}
@@ -160,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
     counts = sample.where(~F.col("__cal")).select("__text", "__y").mapInArrow(_count, "token binary, clean long, toxic long")
     counts = counts.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= p.min_docs)
     # parents are listed with their children: a token that any toxic document has, at most max_tokens of them
-    rows = counts.where("toxic > 0").orderBy(F.desc(F.col("toxic") / (F.col("toxic") + F.col("clean") + p.strength)), F.desc("toxic"), "token").limit(p.max_tokens).collect()
+    rows = C.most_frequent(counts.where("toxic > 0"), "toxic", p.max_tokens).collect()
     n = {bytes(r.token): (r.clean, r.toxic) for r in rows}
     base = n1 / (n0 + n1)
     logit = lambda q: math.log(q / (1 - q))
@@ -213,12 +213,14 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
     for i, m in enumerate(models):
         x = np.array([r[i] for r in pairs])
         w = C.fit_logistic(x[:, None] / 10, y, l2=1e-5)
-        m.curve = (float(w[0]), float(max(0.0, w[1] / 10)))
+        m.curve = (float(w[0]), float(max(0.0, w[1] / 10)))  # the loss is that of the sample
         q = np.clip(np.array([m.probability(v) for v in x]), 1e-9, 1 - 1e-9)
         loss = -float(np.mean(y * np.log(q) + (1 - y) * np.log(1 - q)))
         if best is None or loss < best[0] - 1e-9:
             best = (loss, m)
-    return best[1]
+    model = best[1]
+    model.curve = (model.curve[0] + C.prior_shift(y, of_class), model.curve[1])
+    return model
 
 
 def extreme_values(model: Scorer, seen: dict[float, int], penalty: float) -> Scorer:
