@@ -112,11 +112,11 @@ def op4_sql(rules: url_templates.Rules = URL_RULES, p: url_templates.Params = ur
 , live{k} AS (SELECT *, segs[{k + 1}] AS seg FROM t{k} WHERE len(segs) > {k})
 , child{k} AS (SELECT host, template, seg, sum(n) AS n, sum(blocked) AS b, sum(blocked + allowed) AS l FROM live{k} GROUP BY ALL)
 , node{k} AS (SELECT *, n >= greatest({p.min_pages}, {p.min_share} * sum(n) OVER (PARTITION BY host, template)) AND NOT regexp_matches(seg, '[0-9]') AS lasting FROM child{k})
-, pool{k} AS (SELECT host, template, seg, lasting, b, l, sum(CASE WHEN lasting THEN b ELSE 0 END) OVER w - b AS ob, sum(CASE WHEN lasting THEN l ELSE 0 END) OVER w - l AS ol
-              FROM node{k} WINDOW w AS (PARTITION BY host, template))
-, chosen{k} AS (SELECT host, template, seg, CASE WHEN NOT lasting THEN '*'
-      WHEN l > 0 AND ol > 0 AND abs(b / l - ob / ol) < sqrt(0.5 * ln(2 / {p.alpha})) * (1 / sqrt(l) + 1 / sqrt(ol)) THEN '+' ELSE seg END AS symbol
-    FROM pool{k})
+, rate{k} AS (SELECT host, template, seg, b / l AS rate, l, lag(b / l) OVER w AS before, lag(l) OVER w AS before_l FROM node{k} WHERE lasting AND l > 0 WINDOW w AS (PARTITION BY host, template ORDER BY b / l, seg))
+, part{k} AS (SELECT *, sum(CASE WHEN rate - before >= sqrt(0.5 * ln(2 / {p.alpha})) * (1 / sqrt(l) + 1 / sqrt(before_l)) THEN 1 ELSE 0 END) OVER (PARTITION BY host, template ORDER BY rate, seg) AS part FROM rate{k})
+, alike{k} AS (SELECT *, count(*) OVER (PARTITION BY host, template, part) AS alike FROM part{k})
+, chosen{k} AS (SELECT n.host, n.template, n.seg, CASE WHEN NOT lasting THEN '*' WHEN alike > 1 THEN '+' || CAST(part AS INT) ELSE n.seg END AS symbol
+    FROM node{k} n LEFT JOIN alike{k} a ON n.host = a.host AND n.template = a.template AND n.seg = a.seg)
 , t{k + 1} AS (
     SELECT x.host, x.path, x.n, x.blocked, x.allowed, x.segs, x.template || '/' || c.symbol AS template
     FROM live{k} x JOIN chosen{k} c ON x.host = c.host AND x.template = c.template AND x.seg = c.seg

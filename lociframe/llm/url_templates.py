@@ -1,8 +1,9 @@
 """URL filtering with rules and a path-template tree, in DataFrame operations only.
 
 Hosts have a tree of path segments. Level by level, a node's segments become templates: a segment that holds too small a
-share of the node, or has a digit, is variable and becomes `*`. Of the others, branches whose labelled block rates are
-alike by Hoeffding's bound (each against its labelled siblings together) merge into `+`; the rest stay as they are.
+share of the node, or has a digit, is variable and becomes `*`. Of the others, branches with labelled pages are put in
+order of their block rate, and neighbours whose rates are alike by Hoeffding's bound merge into one (`+0`, `+1`, ...);
+the rest, and branches without labelled pages, stay as they are.
 Pages that a rule decides are the labels. A template is rejected when enough of its pages are labelled and its block
 rate, smoothed by the rate of all labelled pages, is high; pages without labelled company are allowed.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -74,13 +75,16 @@ def templates(paths: DataFrame, p: Params = Params()) -> DataFrame:
         node = child.groupBy("host", "template").agg(F.sum("n").alias("node_n"))
         lasting = (F.col("n") >= F.greatest(F.lit(p.min_pages), p.min_share * F.col("node_n"))) & ~F.col("seg").rlike("[0-9]")
         child2 = C.stored(child.join(node, ["host", "template"]).withColumn("lasting", lasting), "templates-child")
-        pool = child2.where("lasting").groupBy("host", "template").agg(F.sum("b").alias("pb"), F.sum("l").alias("pl"))
-        others_l, others_b = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
-        gap = F.abs(F.col("b") / F.col("l") - others_b / others_l)
-        bound = math.sqrt(0.5 * math.log(2 / p.alpha)) * (1 / F.sqrt("l") + 1 / F.sqrt(others_l))
-        alike = F.col("lasting") & (F.col("l") > 0) & (others_l > 0) & (gap < bound)
-        symbol = F.when(~F.col("lasting"), "*").when(alike, "+").otherwise(F.col("seg"))
-        chosen = child2.join(pool, ["host", "template"], "left").select("host", "template", "seg", symbol.alias("symbol"))
+        # lasting segments hold min_share of their node each, so a node has 1 / min_share of them at most
+        ranked = child2.where("lasting AND l > 0").withColumn("rate", F.col("b") / F.col("l"))
+        w = Window.partitionBy("host", "template").orderBy("rate", "seg")
+        reach = math.sqrt(0.5 * math.log(2 / p.alpha)) * (1 / F.sqrt("l") + 1 / F.sqrt(F.lag("l").over(w)))
+        part = F.coalesce((F.col("rate") - F.lag("rate").over(w) >= reach).cast("int"), F.lit(0))
+        ranked = ranked.withColumn("part", part).withColumn("part", F.sum("part").over(w))
+        ranked = ranked.withColumn("alike", F.count("*").over(Window.partitionBy("host", "template", "part")))
+        merged = ranked.where("alike > 1").select("host", "template", "seg", F.concat(F.lit("+"), F.col("part").cast("string")).alias("merged"))
+        symbol = F.when(~F.col("lasting"), "*").otherwise(F.coalesce("merged", "seg"))
+        chosen = child2.join(merged, ["host", "template", "seg"], "left").select("host", "template", "seg", symbol.alias("symbol"))
         grown = live.withColumn("seg", seg).join(chosen, ["host", "template", "seg"])
         grown = grown.select("host", "path", "n", "blocked", "allowed", "segs", F.concat("template", F.lit("/"), "symbol").alias("template"))
         new = C.stored(grown.unionByName(now.where(F.size("segs") <= level)), "templates")
