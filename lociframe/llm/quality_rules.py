@@ -128,17 +128,28 @@ def squared_distance(centre: str = "centre", inverse: str = "inverse"):
     return sum(((1 if i == j else 2) * d[i] * d[j] * F.col(inverse)[k] for k, (i, j) in enumerate(PAIRS)), F.lit(0.0))
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, most: int = 100_000, salts: int = 32) -> DataFrame:
+    """rows with the columns of groups (one stored row per g), so that no task gets all rows of a group.
+
+    Up to `most` groups are broadcast. Beyond, rows of a group are spread over `salts` copies of its row.
+    """
+    if groups.count() <= most:
+        return rows.join(F.broadcast(groups), "g")
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*X), F.lit(salts)).cast("int")).join(copies, ["g", "salt"]).drop("salt")
+
+
 def estimate(rows: DataFrame, p: Params) -> DataFrame:
     """(g, centre, inverse) for each group g of rows (columns g, x0 to x4) after the concentration steps."""
-    start = rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"m{x}") for x in X))
-    spread = rows.join(start, "g").groupBy("g").agg(*(F.first(f"m{x}").alias(f"m{x}") for x in X), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{x}")), 0.5, 10_000).alias(f"s{x}") for x in X))
+    start = C.stored(rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"m{x}") for x in X)), "mcd")
+    spread = with_groups(rows, start).groupBy("g").agg(*(F.first(f"m{x}").alias(f"m{x}") for x in X), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{x}")), 0.5, 10_000).alias(f"s{x}") for x in X))
     scale = [F.greatest(1.4826 * F.col(f"s{x}"), F.lit(f)) for x, f in zip(X, FLOOR, strict=True)]
     fit = C.stored(spread.select("g", F.array(*(F.col(f"m{x}") for x in X)).alias("centre"), F.array(*(1 / (scale[i] * scale[i]) if i == j else F.lit(0.0) for i, j in PAIRS)).alias("inverse")), "mcd")
     for step in range(p.steps):
         # bins of a sixteenth of a doubling, -160 to 480: at most 641 for a group
         bins = F.least(F.lit(480), F.greatest(F.lit(-160), F.floor(16 * F.log2(squared_distance() + 1e-12)).cast("int")))
         moments = [F.count("*").alias("n"), *(F.sum(x).alias(f"s{x}") for x in X), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS)]
-        table = rows.join(fit, "g").withColumn("bin", bins).groupBy("g", "bin").agg(*moments)
+        table = with_groups(rows, fit).withColumn("bin", bins).groupBy("g", "bin").agg(*moments)
         new = C.stored(table.groupBy("g").applyInPandas(_refit(p.share), "g string, centre array<double>, inverse array<double>"), "mcd")
         C.dropped(fit)
         fit = new
