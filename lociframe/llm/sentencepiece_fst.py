@@ -10,8 +10,8 @@ follow one another only if merging their joint text by the model's ranks gives j
 neighbours all agree like that is the one that merging makes, so one finite path is left, and of all pieces that end at
 a position a single one survives.
 
-Pieces never reach over a space that follows another character (checked when compiling), so a text is a chain of short
-inputs, and workers remember the results of a bounded number of them.
+A text is cut where no piece can reach over, which compiling finds out from the pieces: before spaces and, in the usual
+models, before punctuation. So it is a chain of short inputs, and workers remember the results of a bounded number.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import re
 import struct
 from functools import lru_cache
 
+import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +115,21 @@ class Normalizer:
         return text.replace(" ", SPACE) if self.escape else text
 
 
+class Memo:
+    """Results by input in two generations of at most `size` each: what was used since the last change outlives the next."""
+
+    def __init__(self, size: int = 100_000):
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, inputs: set[str]) -> list[str]:
+        """Those of the inputs that the new generation lacks, after a change of generations if they don't fit in."""
+        out = [x for x in inputs if x not in self.new]
+        if len(self.new) + len(out) > self.size:
+            self.new, self.old = {}, self.new
+            out = list(inputs)
+        return out
+
+
 class Transducer:
     """A compiled model: encode() gives ids, decode() a text."""
 
@@ -137,10 +153,7 @@ class Transducer:
         self.score = {p: s for p, s, _ in usable}
         low = min(self.score.values(), default=0.0)
         self.fallback = 10.0 - low if not self.bpe else 0.0
-        crossing = any(SPACE in p.lstrip(SPACE) for p in self.id)
-        joined = {c for p in self.id if len(p) > 1 for c in p}
-        solo = "" if "\n" in joined else "\n"
-        self.inputs = re.compile(r"(?s).+" if crossing else f"{solo or '(?!)'}|{SPACE}*[^{SPACE}{solo}]+|{SPACE}+")
+        self.inputs = self._inputs()
         # the pieces' trie as nested dictionaries: a node maps a character to the next, and "" to True at a piece's end
         self.trie: dict = {}
         for p in self.id:
@@ -148,10 +161,37 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = True
+        self.name = [p for p, _, _ in pieces]
         self.text = [b""] * len(pieces)
         for i, (p, _, kind) in enumerate(pieces):
             self.text[i] = bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else " ⁇ ".encode() if kind == 2 else p.replace(SPACE, " ").encode()
-        self.agree = lru_cache(maxsize=400_000)(self._agree)
+        self.agree = lru_cache(maxsize=100_000)(self._agree)
+        # the same arcs with failure transitions, which list the pieces that end at each character, long ones first
+        self.arcs = ahocorasick.Automaton()
+        for p, i in self.id.items():
+            self.arcs.add_word(p, (i, len(p)))
+        if self.id:
+            self.arcs.make_automaton()
+        self.plain = frozenset(p for p in self.id if len(p) == 1)
+        self.pair: dict[int, bool] = {}
+
+    def _inputs(self) -> re.Pattern:
+        """Cuts a normalised text where no piece can reach over.
+
+        That is before spaces that follow another character, around a line's end if no longer piece has one, and before
+        marks: characters that no piece has after a letter, a digit or another character that is no mark.
+        """
+        longer = [p for p in self.id if len(p) > 1]
+        if any(SPACE in p.lstrip(SPACE) for p in longer):
+            return re.compile(r"(?s).+")
+        solo = "" if any("\n" in p for p in longer) else "\n"
+        marks = {c for p in longer for c in p if not c.isalpha() and c not in "0123456789\n" + SPACE}
+        while bad := {b for p in longer for a, b in zip(p, p[1:], strict=False) if b in marks and a not in marks and a != SPACE}:
+            marks -= bad
+        m = "".join(map(re.escape, sorted(marks)))
+        rest = f"[^{SPACE}{solo}{m}]"
+        with_marks = f"|{SPACE}*[{m}]+{rest}*" if m else ""
+        return re.compile(f"{solo or '(?!)'}{with_marks}|{SPACE}*{rest}+|{SPACE}+")
 
     def __reduce__(self):
         return Transducer, (self.model,)
@@ -217,7 +257,39 @@ class Transducer:
             k -= len(last[k])
         return out[::-1]
 
+    def merged_path(self, text: str) -> tuple[int, ...]:
+        """Ids of the path of a BPE model for an input whose characters are all pieces.
+
+        `last` holds the one piece that survives at each position; whether two may follow one another is remembered.
+        """
+        n, pair, pieces = len(text), self.pair, len(self.text)
+        last = [-1] * (n + 1)
+        for end, (i, size) in self.arcs.iter(text):
+            end += 1
+            if last[end] >= 0:
+                continue
+            begin = end - size
+            before = last[begin]
+            if begin and before < 0:
+                continue
+            key = (before + 1) * pieces + i
+            fits = pair.get(key)
+            if fits is None:
+                if len(pair) > 500_000:
+                    pair.clear()
+                parts = [self.name[before], self.name[i]] if begin else [self.name[i]]
+                fits = pair[key] = self.merged("".join(parts)) == parts
+            if fits:
+                last[end] = i
+        out, k = [], n
+        while k:
+            out.append(last[k])
+            k -= len(self.name[last[k]])
+        return tuple(out[::-1])
+
     def encode_input(self, text: str) -> tuple[int, ...]:
+        if self.bpe and self.plain.issuperset(text):
+            return self.merged_path(text)
         out = []
         for p in self.path(text):
             if p in self.id:
@@ -228,27 +300,23 @@ class Transducer:
                 out.append(self.unknown)
         return tuple(out)
 
-    def encode(self, text: str, memo: dict[str, tuple[int, ...]] | None = None, memo_size: int = 200_000) -> list[int]:
-        """Ids of a text; memo remembers inputs of up to 64 characters."""
+    def encode(self, text: str, memo: "Memo | None" = None) -> list[int]:
+        """Ids of a text; memo remembers the results of inputs of up to 64 characters."""
         from itertools import chain
 
-        memo = {} if memo is None else memo
+        memo = Memo() if memo is None else memo
         inputs = self.inputs.findall(self.normalize(text))
-        try:
-            return list(chain.from_iterable(map(memo.__getitem__, inputs)))
-        except KeyError:
-            pass
-        if len(memo) > memo_size:
-            memo.clear()
-        out = []
-        for x in inputs:
-            ids = memo.get(x)
-            if ids is None:
-                ids = self.encode_input(x)
-                if len(x) <= 64:
-                    memo[x] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        kinds = set(inputs)
+        new = memo.missing(kinds)
+        known, old = memo.new, memo.old
+        for x in new:
+            ids = old.get(x)
+            known[x] = self.encode_input(x) if ids is None else ids
+        out = list(chain.from_iterable(map(known.__getitem__, inputs)))
+        for x in new:
+            if len(x) > 64:
+                del known[x]
+        return out
 
     def decode_bytes(self, ids) -> bytes:
         """UTF-8 of the decoded text, without the dummy prefix."""
@@ -285,11 +353,11 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
         if shared.value not in own._compiled:
             own._compiled.clear()
-            own._compiled[shared.value] = (own.Transducer(shared.value), {})
+            own._compiled[shared.value] = (own.Transducer(shared.value), own.Memo())
         t, memo = own._compiled[shared.value]
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
+            for begin in range(0, batch.num_rows, 200):
+                part = batch.slice(begin, 200)
                 ids, size, back, same = [], [], [], []
                 for raw in part.column("text").to_pylist():
                     text = raw.decode("utf-8", "replace")
