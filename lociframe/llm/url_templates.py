@@ -72,7 +72,8 @@ def templates(paths: DataFrame, p: Params = Params()) -> DataFrame:
         child = C.stored(
             live.groupBy("host", "template", seg.alias("seg")).agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum(F.col("blocked") + F.col("allowed")).alias("l")), "templates-child"
         )
-        node = child.groupBy("host", "template").agg(F.sum("n").alias("node_n"))
+        # written out, so that its size is known: while it is small, a large node's children stay where they are
+        node = C.stored(child.groupBy("host", "template").agg(F.sum("n").alias("node_n")), "templates-node")
         lasting = (F.col("n") >= F.greatest(F.lit(p.min_pages), p.min_share * F.col("node_n"))) & ~F.col("seg").rlike("[0-9]")
         child2 = C.stored(child.join(node, ["host", "template"]).withColumn("lasting", lasting), "templates-child")
         # lasting segments hold min_share of their node each, so a node has 1 / min_share of them at most
@@ -88,7 +89,7 @@ def templates(paths: DataFrame, p: Params = Params()) -> DataFrame:
         grown = live.withColumn("seg", seg).join(chosen, ["host", "template", "seg"])
         grown = grown.select("host", "path", "n", "blocked", "allowed", "segs", F.concat("template", F.lit("/"), "symbol").alias("template"))
         new = C.stored(grown.unionByName(now.where(F.size("segs") <= level)), "templates")
-        for old in (now, child, child2):
+        for old in (now, child, child2, node):
             C.dropped(old)
         now = new
     now = now.withColumn("template", F.when(F.size("segs") > p.depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
