@@ -111,8 +111,8 @@ def em_step(edges: DataFrame, share: DataFrame, lengths: DataFrame) -> DataFrame
 
 
 def em_rounds(edges: DataFrame, start: DataFrame, lengths: DataFrame, rounds: int) -> DataFrame:
-    """A fixed number of steps; every second one is written out, so plans stay short."""
-    now = start
+    """A fixed number of steps; the edges are written out once, and every second step's shares, so plans stay short."""
+    edges, now = stored(edges, "em-edges"), start
     for i in range(rounds):
         now = em_step(edges, now, lengths)
         if i % 2 and i + 1 < rounds:

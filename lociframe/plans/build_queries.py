@@ -196,7 +196,7 @@ def representative_alleles(spark, sf_dir):
     return variants.representative_rows(c)
 
 
-SQL["representative_alleles"] = adapt.with_sql("calls", then='SELECT sample, gene, slot - 1 AS rank, ord AS seq_idx, abundance AS ec_abundance, quality FROM calls WHERE slot <= 2 AND quality >= 1')
+SQL["representative_alleles"] = adapt.with_sql("calls", then='SELECT sample, gene, CAST(slot - 1 AS INT) AS rank, ord AS seq_idx, abundance AS ec_abundance, CAST(quality AS INT) AS quality FROM calls WHERE slot <= 2 AND quality >= 1')
 
 
 def seeded_bases(spark, sf_dir):

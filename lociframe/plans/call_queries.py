@@ -55,7 +55,7 @@ def best_tie_retention(spark, sf_dir):
 
 
 SQL["best_tie_retention"] = adapt.with_sql("assignments", then=""", a AS (SELECT read_id, allele AS seq_idx, "end" - "start" AS match, similarity FROM assignments)
-SELECT read_id, seq_idx, match, round(similarity, 6) AS similarity, 1.0 AS qual FROM (SELECT *, rank() OVER (PARTITION BY read_id ORDER BY match DESC, similarity DESC) AS r FROM a) WHERE r = 1""")
+SELECT read_id, seq_idx, match, round(similarity, 6) AS similarity, CAST(1 AS DOUBLE) AS qual FROM (SELECT *, rank() OVER (PARTITION BY read_id ORDER BY match DESC, similarity DESC) AS r FROM a) WHERE r = 1""")
 
 
 def assignment_weight(spark, sf_dir):
@@ -86,7 +86,7 @@ def read_coalesce(spark, sf_dir):
     return _groups(spark, sf_dir).withColumn("weight", F.round("weight", 6))
 
 
-SQL["read_coalesce"] = _GROUPS_SQL + 'SELECT rg_first, n_reads, allele, qual, "start", "end", round(weight, 6) AS weight FROM groups'
+SQL["read_coalesce"] = _GROUPS_SQL + 'SELECT rg_first, n_reads, allele, qual, "start", "end", round(CAST(weight AS DOUBLE), 6) AS weight FROM groups'
 
 
 def equivalence_classes(spark, sf_dir):
@@ -256,7 +256,7 @@ def hwe_prior(spark, sf_dir):
 
 
 SQL["hwe_prior"] = """SELECT p_partkey, round(ln(2) + ln(p_size / 51.0) + ln((p_partkey % 40 + 1) / 41.0), 6) AS het, round(2 * ln(p_size / 51.0), 6) AS hom,
-  3.0 * CASE WHEN p_partkey % 2 = 0 THEN 2 * CAST(p_size / 51.0 > 0.5 AS INT) ELSE CAST(p_size / 51.0 > 0.5 AS INT) + CAST(p_partkey % 40 + 1 > 20 AS INT) END AS penalty FROM part"""
+  CAST(3 AS DOUBLE) * CASE WHEN p_partkey % 2 = 0 THEN 2 * CAST(p_size / 51.0 > 0.5 AS INT) ELSE CAST(p_size / 51.0 > 0.5 AS INT) + CAST(p_partkey % 40 + 1 > 20 AS INT) END AS penalty FROM part"""
 
 
 def normal_tail_as66(spark, sf_dir):
@@ -300,7 +300,7 @@ def genotype_quality(spark, sf_dir):
 SQL["genotype_quality"] = adapt.with_sql("calls", then=f""", r AS (SELECT sample, gene, slot - 1 AS rank, abundance AS a, sum(abundance) OVER (PARTITION BY sample, gene) AS g, sum(abundance) OVER (PARTITION BY sample) AS t FROM calls)
 , z AS (SELECT *, 2 * (sqrt(a) - sqrt((g - a) * 0.01 + 0.001 * (t - g))) AS z FROM r)
 , q AS (SELECT *, {_tail_sql("z")} AS tail FROM z)
-SELECT sample, gene, rank, CASE WHEN a < 1 THEN 0 WHEN tail <= 0 THEN 60 ELSE CAST(trunc(least(60, greatest(0, -log10(tail)))) AS INT) END AS quality FROM q""")
+SELECT sample, gene, CAST(rank AS INT) AS rank, CASE WHEN a < 1 THEN 0 WHEN tail <= 0 THEN 60 ELSE CAST(trunc(least(60, greatest(0, -log10(tail)))) AS INT) END AS quality FROM q""")
 
 
 def call_description(spark, sf_dir):
@@ -320,7 +320,7 @@ def pair_search_score(spark, sf_dir):
 SQL["pair_search_score"] = adapt.with_sql("assignments", then=f""", a AS (SELECT read_id, allele % 3 AS gene, allele, {_WEIGHT} AS weight FROM (SELECT *, (1 - CAST(0.8 AS DOUBLE)) / 4 AS b FROM assignments) WHERE qual = 1)
 , types AS (SELECT DISTINCT gene, allele FROM a), pairs AS (SELECT x.gene, x.allele AS j, y.allele AS k FROM types x JOIN types y ON x.gene = y.gene AND x.allele < y.allele)
 , cover AS (SELECT p.gene, j, k, read_id, max(weight) AS w FROM pairs p JOIN a ON a.gene = p.gene AND (a.allele = j OR a.allele = k) GROUP BY ALL)
-SELECT gene, j, k, round(sum(w), 4) AS covered FROM cover GROUP BY ALL""")
+SELECT gene, j, k, round(CAST(sum(w) AS DOUBLE), 4) AS covered FROM cover GROUP BY ALL""")
 
 
 def combine_votes(spark, sf_dir):
@@ -406,7 +406,7 @@ _CALLED_SQL = _COPY_SQL + """, last AS (SELECT sample, allele, arg_max(abundance
 , r AS (SELECT *, row_number() OVER (PARTITION BY sample, gene, slot ORDER BY ll DESC, c) AS rn, lead(ll) OVER (PARTITION BY sample, gene, slot ORDER BY ll DESC, c) AS second FROM l)
 , called AS (SELECT sample, gene, slot, allele, c AS copy, ll - second AS ratio FROM r WHERE rn = 1)
 """
-SQL["copynumber_calls"] = _CALLED_SQL + "SELECT sample, gene, slot, CAST(copy AS INT) AS copy, round(ratio, 4) AS ratio FROM called"
+SQL["copynumber_calls"] = _CALLED_SQL + "SELECT sample, gene, CAST(slot AS INT) AS slot, CAST(copy AS INT) AS copy, round(ratio, 4) AS ratio FROM called"
 
 
 def copynumber_rows(spark, sf_dir):

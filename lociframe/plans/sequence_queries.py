@@ -66,7 +66,7 @@ _POSTED9 = adapt.with_sql("alleles", then=", " + _windows("alleles", "seq_idx",
   SELECT seq_idx, "offset", kmer FROM (SELECT *, lag(kmer) OVER (PARTITION BY seq_idx ORDER BY "offset") AS prev FROM w)
   WHERE ("offset" = 0 AND kmer <> 'AAAAAAAAA') OR ("offset" > 0 AND ("offset" = 1 OR prev IS NULL OR prev <> kmer)))
 """)
-SQL["kmer_index_postings"] = _POSTED9 + """SELECT kmer, seq_idx, "offset", count(*) OVER (PARTITION BY kmer) AS repeats FROM posted"""
+SQL["kmer_index_postings"] = _POSTED9 + """SELECT kmer, seq_idx, CAST("offset" AS INT) AS "offset", count(*) OVER (PARTITION BY kmer) AS repeats FROM posted"""
 
 
 def repeat_kmer_filter(spark, sf_dir):
@@ -243,7 +243,7 @@ def diagonal_runs(spark, sf_dir):
 SQL["diagonal_runs"] = _hits_sql(K) + """, d AS (SELECT read_id, strand, seq_idx, read_offset - "offset" AS diag, count(*) AS n FROM hits GROUP BY ALL)
 , g AS (SELECT *, CAST(diag - lag(diag) OVER w > 10 AS INT) AS cut FROM d WINDOW w AS (PARTITION BY read_id, strand, seq_idx ORDER BY diag))
 , r AS (SELECT *, CAST(coalesce(sum(cut) OVER (PARTITION BY read_id, strand, seq_idx ORDER BY diag), 0) AS BIGINT) AS run FROM g)
-SELECT read_id, strand, seq_idx, run, min(diag) AS low, max(diag) AS high, CAST(sum(n) AS BIGINT) AS hits, arg_max(diag, n * 1000000 - diag) AS dominant FROM r GROUP BY read_id, strand, seq_idx, run HAVING sum(n) >= 3"""
+SELECT read_id, strand, seq_idx, run, CAST(min(diag) AS INT) AS low, CAST(max(diag) AS INT) AS high, CAST(sum(n) AS BIGINT) AS hits, CAST(arg_max(diag, n * 1000000 - diag) AS INT) AS dominant FROM r GROUP BY read_id, strand, seq_idx, run HAVING sum(n) >= 3"""
 
 
 def covered_length(spark, sf_dir):
