@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
 
     def calling(p):
         p.add_argument("-n", "--max-alleles-per-read", type=int, default=2000)
+        p.add_argument("--prefilter-frac", type=float, default=0.0)
         p.add_argument("--filter-frac", "--frac", type=float, default=0.15)
         p.add_argument("--filter-cov", "--cov", type=float, default=1.0)
         p.add_argument("--cross-gene-rate", "--crossGeneRate", type=float, default=0.04)
@@ -108,7 +109,7 @@ def settings(a, spark=None, panel=None) -> pipeline.Settings:
     if get("allele_freq", None):
         freq = pipeline.priors(pipeline.described(panel), tables.read_frequencies(spark, a.allele_freq))
     options = genotype.Options(get("filter_frac", 0.15), get("filter_cov", 1.0), get("cross_gene_rate", 0.04), prior_weight=get("allele_freq_weight", 2.0), null_penalty=get("allele_freq_null_penalty", 0.0), frequency=freq)
-    return pipeline.Settings(a.similarity, get("max_alleles_per_read", 2000), options, get("max_variant_group", 8))
+    return pipeline.Settings(a.similarity, get("max_alleles_per_read", 2000), options, get("max_variant_group", 8), get("prefilter_frac", 0.0))
 
 
 def write_candidates(found, prefix: str) -> None:

@@ -340,13 +340,14 @@ def crosses(allele: str, start: int, end: int) -> bool:
     return start < 0 or end >= len(allele) or "N" in allele[start : end + 1]
 
 
-def assign(index: Index, read: str, hit_length: int, similarity: float) -> tuple[list[Overlap], list[tuple[int, int, str]]]:
+def assign(index: Index, read: str, hit_length: int, similarity: float, prefilter: float = 0.0) -> tuple[list[Overlap], list[tuple[int, int, str]]]:
     """Extended overlaps of a read, and the pileup cells (allele, position, base) of its near-best ones.
 
     Better overlaps go first; after the first that can't be extended only as good ones, or nearly perfect ones that need
-    clipping, are tried. With more than a thousand, those within 0.1 of the best's similarity stay.
+    clipping, are tried. With more than a thousand, those within 0.1 of the best's similarity stay. `prefilter` leaves
+    out overlaps whose anchors alone reach less than that similarity.
     """
-    found = sorted(overlaps(index, read, hit_length, similarity), key=Overlap.order)
+    found = sorted(overlaps(index, read, hit_length, similarity, prefilter), key=Overlap.order)
     if not found:
         return [], []
     seq = read if found[0].strand == 1 else revcomp(read)

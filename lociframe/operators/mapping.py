@@ -43,7 +43,7 @@ def map_reads(reads: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11
     return reads.select("read_id", F.col("seq").alias("key")).join(found, "key").drop("key")
 
 
-def fragment_assignments(fragments: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11, similarity: float = 0.8, most: int = 2000) -> DataFrame:
+def fragment_assignments(fragments: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11, similarity: float = 0.8, most: int = 2000, prefilter: float = 0.0) -> DataFrame:
     """(sample, read_id, seq_idx, start, end, weight, qual, adjust) of fragments (sample, read_id, seq1, seq2 or null).
 
     Mates of one fragment are aligned, paired and weighed in one call; a fragment with more than `most` alleles, or with
@@ -66,7 +66,7 @@ def fragment_assignments(fragments: DataFrame, alleles: DataFrame, hit_length: i
             if seq not in memo:
                 if len(memo) > 50_000:
                     memo.clear()
-                memo[seq] = align.assign(index, seq, hit_length, similarity)[0]
+                memo[seq] = align.assign(index, seq, hit_length, similarity, prefilter * similarity)[0]
             return memo[seq]
 
         names = ["sample", "read_id", "seq_idx", "start", "end", "weight", "qual", "adjust"]

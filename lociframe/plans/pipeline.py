@@ -22,8 +22,11 @@ class Settings:
     max_alleles: int = 2000
     options: genotype.Options = field(default_factory=genotype.Options)
     max_group: int = 8
+    #: share of the similarity that an overlap's anchors must reach before it is aligned; 0 aligns all
+    prefilter: float = 0.0
 
     def __post_init__(self):
+        maths.check_range("prefilter", self.prefilter, 0, 1)
         maths.check_range("similarity", self.similarity, 0, 1)
         maths.check_range("filter fraction", self.options.filter_frac, 0, 1)
         maths.check_range("filter coverage", self.options.filter_cov, 0, 1e9)
@@ -80,7 +83,7 @@ class Run:
         longest = fragments.agg(F.max(F.length("seq1"))).first()[0] or 0
         self.options = replace(settings.options, read_length=int(longest))
         self.hit_length = max(27, INDEX_K)
-        self.hits = common.stored(mapping.fragment_assignments(self.fragments, self.panel, self.hit_length, INDEX_K, settings.similarity, settings.max_alleles), "hits")
+        self.hits = common.stored(mapping.fragment_assignments(self.fragments, self.panel, self.hit_length, INDEX_K, settings.similarity, settings.max_alleles, settings.prefilter), "hits")
         self.similar = gene_similarity(self.panel)
         self._stats = None
 

@@ -173,6 +173,8 @@ def test_overlaps_and_fragments():
     assert [(f.seq_idx, f.start, f.end, f.match, f.similarity, f.paired) for f in pair] == [(0, 100, 269, 320, 1.0, True)]
     assert align.fragments(assign_(ref[1][100:180]), [], ref, 27) == []  # the mate had room
     assert align.fragments(assign_(ref[1][300:400]), [], ref, 27) != []  # the mate may have left the allele
+    noisy = "".join(("C" if c == "A" else "A") if i % 20 == 10 else c for i, c in enumerate(read))
+    assert align.assign(index, noisy, 27, 0.8)[0] and align.assign(index, noisy, 27, 0.8, prefilter=0.5)[0] and not align.assign(index, noisy, 27, 0.8, prefilter=0.99)[0]
     over = assign_(ref[2][350:400] + bases(r, 30))
     assert over and over[0].right_clip == 30
 
