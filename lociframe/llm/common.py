@@ -1,24 +1,24 @@
-"""Helpers shared by the corpus operators: shared-folder tables, hashing, tokens."""
+"""Helpers of the corpus operators: samples, hashing, bytes, curves; and the library's tables in the shared folder."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import common
+from ..operators.common import dropped, shared_path, stored
+
+__all__ = ["ALNUM", "as_bytes", "bounded_sample", "crc_mod", "dropped", "fit_logistic", "most_frequent", "prior_shift", "sampled_texts", "shared_path", "ship", "sliced", "stored", "table"]
+
 #: Bytes after ASCII lower-casing, with everything but 0-9, a-z and non-ASCII bytes turned into a space.
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it through sys.path alone."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+    """Let Python workers import this package, and keep batches of texts small."""
+    common.ship(spark)
     # texts are long rows: the default of 10,000 would put tens of MB into each batch, several times over
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -29,38 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lociframe-"))
-    return sc.getCheckpointDir()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: a cut of the lineage that outlives executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._lociframe_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by stored(); nothing may read it afterwards."""
-    remove(df.sparkSession, df._lociframe_path)
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
@@ -132,8 +100,6 @@ def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Column
 
 def prior_shift(y, sizes: dict[int, int]) -> float:
     """What a curve fitted on labels y must be raised by, so that it holds for classes of these sizes."""
-    import math
-
     ones = float(sum(y))
     return math.log((sizes[1] / sizes[0]) / (ones / (len(y) - ones)))
 

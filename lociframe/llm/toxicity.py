@@ -169,9 +169,9 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
     def posterior(t: bytes) -> float:
         """Toxic share of a token with the Dirichlet prior of its longest known proper prefix."""
         if t not in share:
-            word = t[:-1] if t.endswith(b" ") else t
-            shorter = [k for k in PREFIXES if k < len(word) or (k == len(word) and t is not word and t.endswith(b" "))]
-            prior = next((posterior(word[:k]) for k in shorter if word[:k] in n), base)
+            word = t.removesuffix(b" ")
+            # a whole word may be as long as its prefix
+            prior = next((posterior(word[:k]) for k in PREFIXES if k < len(t) and k <= len(word) and word[:k] in n), base)
             c, x = n[t]
             share[t] = (x + p.strength * prior) / (c + x + p.strength)
         return share[t]
