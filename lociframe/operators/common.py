@@ -26,6 +26,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows over all cores where it has fewer splits than these; a scan of many files stays as it is."""
+    n = 2 * scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
     sc = spark.sparkContext

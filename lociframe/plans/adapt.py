@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import spread
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGT" * 6 + "AC"
 
@@ -31,8 +33,8 @@ def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """read_id, seq."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), bases(F.col("text")).alias("seq"))
+    """read_id, seq; over all cores, as k-mers make thirty times as much of them."""
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), bases(F.col("text")).alias("seq")))
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
