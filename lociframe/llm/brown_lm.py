@@ -1,18 +1,23 @@
 """Brown class-based bigram model: exchange clustering, class transitions and word emissions.
 
 Words (A-Z lower-cased runs of anything but ASCII white space) and a text's end are tokens. Counts of every word come
-from all training texts by a distributed sum. The model's units are the end, the most frequent words, the most frequent
-endings (last three bytes) of the other words, and one unit for the rest; there are `units` of them, whatever the corpus.
-Transitions between units are counted over all training texts, and exchange clustering moves units between classes while
-that raises the likelihood of the class bigrams. The probability of a token is
+from all training texts by a distributed sum. Classes are found in two steps. Exchange clustering moves the units of a
+seed (the end, the most frequent words, the most frequent endings of the other words, one unit for the rest; `units` of
+them) between classes while that raises the likelihood of the class bigrams. Then every other word that occurs `least`
+times or more is put into the class under which its own neighbours, counted over all training texts, are likeliest: all
+words at once, each against the seed's classes, as in distributed exchange clustering. That table of words, counts and
+classes grows with the corpus and stays distributed. Words that occur less often, and unseen ones, have the class of
+their ending (last three bytes). Transitions are counted anew over all training texts with the words' own classes.
+The probability of a token is
 
     P(class | class before) * P(unit | class) * P(word | unit)
 
 with transitions smoothed by the class frequencies and (count + 1) / (total + types + 1) for the words of an ending, of
-which unseen words are one type.
+which unseen words are one type; a word with a class of its own is a unit.
 
-Scoring sends the counts of the `known` most frequent words to the workers; other words of a text meet their counts in a
-join, one row per text and word, so nothing that grows with the vocabulary is broadcast.
+Texts become sequences of classes once: the `known` most frequent words are sent to the workers with their units; other
+words of a text meet their counts and classes in a join, one row each, so nothing that grows with the
+vocabulary is broadcast.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +37,14 @@ END, REST = 0, 1
 
 @dataclass(frozen=True)
 class Params:
+    #: of the seed that exchange clustering puts into classes
     units: int = 1024
     #: of the units, how many are words of their own
     words: int = 512
+    #: at most 256: a class is a byte of a text's sequence
     classes: int = 40
+    #: words that occur so often have a class of their own, not their ending's
+    least: int = 2
     sweeps: int = 8
     #: words whose counts are sent to the workers, at most
     known: int = 150_000
@@ -77,11 +87,10 @@ def transitions(texts: DataFrame, unit: dict[bytes, int], units: int):
 
         total = np.zeros(units * units, np.int64)
         look = unit_lookup(shared.value)
-        memo: dict[bytes, int] = {}
         for batch in C.sliced(batches):
             ids = [END]
             for text in batch.column(0).to_pylist():
-                ids += look(text.lower().split(), memo)
+                ids += map(look, text.lower().split())
                 ids.append(END)
             x = np.array(ids, np.int64)
             total += np.bincount(x[:-1] * units + x[1:], minlength=units * units)
@@ -93,20 +102,17 @@ def transitions(texts: DataFrame, unit: dict[bytes, int], units: int):
 
 
 def unit_lookup(unit: dict[bytes, int], most: int = 300_000):
-    """A function from words to units: words that are units (keyed with a trailing space), else their ending's, else REST."""
-
-    def look(words, memo):
-        try:
-            return list(map(memo.__getitem__, words))
-        except KeyError:
-            if len(memo) > most:
-                memo.clear()
-            for w in set(words).difference(memo):
-                u = unit.get(w + b" ")
-                memo[w] = unit.get(ending(w), REST) if u is None else u
-            return list(map(memo.__getitem__, words))
+    """A function from a word to its unit: words that are units (keyed with a trailing space), else their ending's, else REST."""
+
+    class Memo(dict):
+        def __missing__(self, w):
+            if len(self) >= most:
+                self.clear()
+            u = unit.get(w + b" ")
+            self[w] = u = unit.get(ending(w), REST) if u is None else u
+            return u
 
-    return look
+    return Memo().__getitem__
 
 
 def exchange(counts, classes: int, sweeps: int):
@@ -167,6 +173,93 @@ def exchange(counts, classes: int, sweeps: int):
     return label
 
 
+def contexts(texts: DataFrame, unit: dict[bytes, int], label, classes: int, most: int = 150_000) -> DataFrame:
+    """(word, at) over all texts, of words that are no units: counts of the classes before (0 to classes - 1) and after
+    (classes to 2 * classes - 1) a word, as count * 2 * classes + place; a place may come several times."""
+    shared = texts.sparkSession.sparkContext.broadcast((unit, label))
+    k = 2 * classes
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        unit, label = shared.value
+
+        class Local(dict):
+            def __init__(self):
+                self[b" "] = 0  # the end; no word has a space
+                self.label, self.free = [int(label[END])], [False]
+
+            def __missing__(self, w):
+                u = unit.get(w + b" ")
+                self.free.append(u is None)
+                self.label.append(int(label[unit.get(ending(w), REST) if u is None else u]))
+                self[w] = i = len(self)
+                return i
+
+        def out(local, ids):
+            kind = np.int32 if len(local) * k < 1 << 31 else np.int64
+            x, free = np.array(ids, kind), np.array(local.free)
+            c = np.array(local.label, kind)[x]
+            at = np.nonzero(free[x])[0]  # neither the first nor the last, which are ends
+            code, n = np.unique(np.concatenate([x[at] * k + c[at - 1], x[at] * k + classes + c[at + 1]]), return_counts=True)
+            w = code // k
+            starts = np.nonzero(np.diff(w, prepend=-1))[0]
+            words = list(local)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(w)), pa.int32()), pa.array(n * k + code % k))
+            return pa.RecordBatch.from_arrays([pa.array([words[i] for i in w[starts]], pa.binary()), lists], ["word", "at"])
+
+        local, ids = Local(), [END]
+        for batch in C.sliced(batches):
+            for text in batch.column(0).to_pylist():
+                ids += map(local.__getitem__, text.lower().split())
+                ids.append(0)
+                if len(local) > most or len(ids) > 10 * most:
+                    yield out(local, ids)
+                    local, ids = Local(), [0]
+        yield out(local, ids)
+
+    rows = texts.select("text").mapInArrow(run, "word binary, at array<long>")
+    return rows.groupBy("word").agg(F.flatten(F.collect_list("at")).alias("at"))
+
+
+def placed(met: DataFrame, unit: dict[bytes, int], step, size, least: int) -> DataFrame:
+    """(word, n, c, u) of contexts: the count and the likeliest class of a word; below `least`, c is null and u the ending's unit.
+
+    `step` has log10 P(class | class before), `size` the tokens of each class. The end's class takes no words, unless it
+    is the only one.
+    """
+    shared = met.sparkSession.sparkContext.broadcast((unit, step, size))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        unit, step, size = shared.value
+        classes = len(size)
+        shut = size <= 0
+        shut[0] = classes > 1
+        if shut.all():
+            shut[-1] = False
+        for batch in C.sliced(batches):
+            at, m = batch.column("at"), batch.num_rows
+            row = np.repeat(np.arange(m), pc.list_value_length(at).to_numpy(zero_copy_only=False))
+            v = at.flatten().to_numpy()
+            counts = np.bincount(row * 2 * classes + v % (2 * classes), v // (2 * classes), m * 2 * classes).reshape(m, 2 * classes)
+            n = counts[:, :classes].sum(1)
+            gain = counts[:, :classes] @ step + counts[:, classes:] @ step.T - n[:, None] * np.log10(np.maximum(size, 1))[None, :]
+            gain[:, shut] = -np.inf
+            rare = n < least
+            ends = [unit.get(ending(w), REST) if r else REST for w, r in zip(batch.column("word").to_pylist(), rare.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), pa.array(n.astype(np.int64)), pa.array(gain.argmax(1).astype(np.int32), mask=rare), pa.array(np.array(ends, np.int32), mask=~rare)],
+                ["word", "n", "c", "u"],
+            )
+
+    return met.mapInArrow(run, "word binary, n long, c int, u int")
+
+
 @dataclass
 class Model:
     """What the workers need: units of words and endings, log10 tables, and the counts of the known words."""
@@ -175,19 +268,28 @@ class Model:
     label: object
     step: object  # log10 P(class | class before)
     emit: object  # log10 P(unit | class), with the part of P(word | unit) that does not depend on the word
+    mass: object  # log10 of what P(unit | class) is divided by, per class
     is_word: object  # units that are a word or the end
     known: dict[bytes, int]
     total: int
     types: int
     texts: int
-    counts: DataFrame  # (word, n) of all training texts; not sent to the workers
+    words: DataFrame  # (word, n, c, u) of all training words outside the seed; not sent to the workers
 
     def __getstate__(self):
-        return self.__dict__ | {"counts": None}
+        return self.__dict__ | {"words": None}
 
 
-def learn(texts: DataFrame, p: Params = Params()) -> Model:
-    """Fit on all texts (column text, bytes)."""
+def steps(matrix, size, smoothing: float):
+    """log10 P(class | class before) of counted transitions, smoothed by the tokens of each class."""
+    import numpy as np
+
+    freq = (size + 1) / (size.sum() + len(size))
+    return np.log10((matrix + smoothing * freq[None, :]) / (matrix.sum(1, keepdims=True) + smoothing))
+
+
+def fit(texts: DataFrame, p: Params = Params()) -> tuple[Model, object]:
+    """Classes and emissions from all texts (column text, bytes), and the tokens of each class; the transitions are still the seed's."""
     import numpy as np
 
     counts = C.stored(word_counts(texts), "words")
@@ -199,22 +301,17 @@ def learn(texts: DataFrame, p: Params = Params()) -> Model:
     own_words = [bytes(r.word) for r in top[: p.words]]
     unit = {w + b" ": 2 + i for i, w in enumerate(own_words)}
     # endings of the words that have no unit: at most 2**24 sums, of which the most frequent are taken
-    n_own = {w: known[w] for w in own_words}
-    by_end = counts.groupBy(F.expr("substring(word, -3, 3)").alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
+    by_end = counts.groupBy(F.expr("substring(word, -3, 3)").alias("e")).agg(F.sum("n").alias("n"))
     ends = C.most_frequent(by_end, "n", 4 * p.units).collect()
-    minus_n, minus_v = Counter(), Counter()
-    for w, n in n_own.items():
-        minus_n[ending(w)] += n
-        minus_v[ending(w)] += 1
-    left = sorted(((r.n - minus_n[bytes(r.e)], r.v - minus_v[bytes(r.e)], bytes(r.e)) for r in ends), key=lambda x: (-x[0], x[2]))
-    unit_n, unit_v = [n_texts, 0, *n_own.values()], [int(n_texts > 0), 0, *(1 for _ in own_words)]
-    for n, v, e in left[: p.units - len(unit_n)]:
+    C.dropped(counts)
+    minus = Counter()
+    for w in own_words:
+        minus[ending(w)] += known[w]
+    left = sorted(((r.n - minus[bytes(r.e)], bytes(r.e)) for r in ends), key=lambda x: (-x[0], x[1]))
+    for n, e in left[: p.units - 2 - len(own_words)]:
         if n > 0:
-            unit[e] = len(unit_n)
-            unit_n.append(n)
-            unit_v.append(v)
-    unit_n[REST], unit_v[REST] = total - sum(unit_n), types - sum(unit_v)
-    units = len(unit_n)
+            unit[e] = 2 + len(unit)
+    units = 2 + len(unit)
     matrix = np.zeros((units, units))
     code, n = transitions(texts, unit, units)
     matrix.flat[code] = n
@@ -222,93 +319,199 @@ def learn(texts: DataFrame, p: Params = Params()) -> Model:
     classes = int(label.max()) + 1
     hot = np.zeros((units, classes))
     hot[np.arange(units), label] = 1
-    un = np.array(unit_n, float)
-    uv = np.array(unit_v, float)
-    cn = hot.T @ un
-    freq = (cn + 1) / (cn.sum() + classes)
-    m = hot.T @ matrix @ hot
-    step = (m + p.smoothing * freq[None, :]) / (m.sum(1, keepdims=True) + p.smoothing)
-    in_class = hot.sum(0)
-    emit = (un + 0.5) / (cn + 0.5 * in_class)[label]
+    cn = hot.T @ matrix.sum(0)
+    words = C.stored(placed(contexts(texts, unit, label, classes), unit, steps(hot.T @ matrix @ hot, cn, p.smoothing), cn, p.least), "classes")
+    # tokens and types of each unit: the seed's words, and of an ending the words that have no class of their own
+    un, uv = np.zeros(units), np.zeros(units)
+    un[END], uv[END] = n_texts, n_texts > 0
+    un[2 : 2 + len(own_words)], uv[2 : 2 + len(own_words)] = [known[w] for w in own_words], 1
+    placed_n, placed_units = np.zeros(classes), np.zeros(classes)
+    for r in words.groupBy("c", "u").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # a row per class and per ending's unit
+        if r.c is None:
+            un[r.u], uv[r.u] = r.n, r.v
+        else:
+            placed_n[r.c], placed_units[r.c] = r.n, r.v
+    cn = hot.T @ un + placed_n
+    mass = np.log10(np.maximum(cn + 0.5 * (hot.sum(0) + placed_units), 0.5))
     is_word = np.zeros(units, bool)
     is_word[END] = True
     is_word[2 : 2 + len(own_words)] = True
-    spread = np.where(is_word, 0.0, np.log10(un + uv + 1))
-    return Model(unit, label, np.log10(step), np.log10(emit) - spread, is_word, known, int(total), int(types), n_texts, counts)
+    emit = np.log10(un + 0.5) - mass[label] - np.where(is_word, 0.0, np.log10(un + uv + 1))
+    # of the words with a class of their own, the known ones become units that the workers look up
+    more = [r for r in C.most_frequent(words.where("c is not null"), "n", p.known).collect() if bytes(r.word) in known]
+    unit |= {bytes(r.word) + b" ": units + i for i, r in enumerate(more)}
+    c = np.array([r.c for r in more], np.int64)
+    emit = np.append(emit, np.log10(np.array([r.n for r in more], float) + 0.5) - mass[c])
+    label, is_word = np.append(label, c), np.append(is_word, np.ones(len(more), bool))
+    return Model(unit, label, steps(hot.T @ matrix @ hot, cn, p.smoothing), emit, mass, is_word, known, int(total), int(types), n_texts, words), cn
+
+
+def learn(texts: DataFrame, p: Params = Params()) -> Model:
+    """Fit on all texts (column text, bytes)."""
+    model, size = fit(texts, p)
+    own = sequences(texts.select(F.lit(None).cast("long").alias("doc_id"), "text"), model, F.lit(False))
+    model.step = steps(class_transitions(own, len(size)), size, p.smoothing)
+    C.dropped(own)
+    return model
 
 
-def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def sequences(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
+    """Per row of docs (doc_id, text), stored: doc_id, held_out, n_tokens, n_known, base_score, emitted (log10 of the
+    emissions) and seq, the class of each word as a byte."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         m = shared.value
-        look, memo = unit_lookup(m.unit), {}
+        look = unit_lookup(m.unit)
         floor = math.log10(m.total + m.types + 1)
-        own_log = {w: math.log10(n + 1) for w, n in m.known.items()}
-        get = own_log.get
-        names = ["rid", "word", "tf", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-        for batch in C.sliced(batches):
-            rid, word, tf, rows = [], [], [], []
-            for r, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = text.lower().split()
-                u = np.array([END, *look(words, memo), END])
-                c = m.label[u]
-                logs = np.array([x if (x := get(w)) is not None else -1.0 for w in words])
-                known = logs >= 0
-                s = float(m.step[c[:-1], c[1:]].sum() + m.emit[u[1:]].sum())
-                if len(words):
-                    s += float(logs[known & ~m.is_word[u[1:-1]]].sum())
-                base = float(logs[known].sum()) - floor * (len(words) + 1)
-                rows.append((len(words) + 1, int(known.sum()), base, s))
-                other = Counter(w for w, k in zip(words, known.tolist(), strict=True) if not k) if not known.all() else {}
-                rid += [r] * len(other)
-                word += other.keys()
-                tf += other.values()
-            k, n = len(word), len(rows)
-            none = pa.nulls
+        log_of = np.full(len(m.label), -1.0)  # of units that are words; other known words are looked up
+        rest = {}
+        for w, n in m.known.items():
+            u = m.unit.get(w + b" ")
+            if u is None:
+                rest[w] = math.log10(n + 1)
+            else:
+                log_of[u] = math.log10(n + 1)
+        byte = m.label.astype(np.uint8)
+        names = ["rid", "word", "at", "u", "doc_id", "held_out", "n_tokens", "n_known", "base", "emitted", "seq"]
+        for batch in C.sliced(batches, 200):
+            n, words, begin = batch.num_rows, [], [0]
+            for text in batch.column("text").to_pylist():
+                words += text.lower().split()
+                begin.append(len(words))
+            begin = np.array(begin)
+            lengths = np.diff(begin)
+            row = np.repeat(np.arange(n), lengths)
+            u = np.fromiter(map(look, words), np.int64, len(words))
+            logs = log_of[u]
+            other = np.nonzero(logs < 0)[0]
+            logs[other] = np.fromiter(map(rest.get, map(words.__getitem__, other.tolist()), repeat(-1.0)), float, len(other))
+            known = logs >= 0
+            add = lambda x: np.bincount(row[known], x, n)
+            own, log = u[known], logs[known]
+            emitted = m.emit[END] + add(m.emit[own] + np.where(m.is_word[own], 0.0, log))
+            base = add(log) - floor * (lengths + 1)
+            seq = byte[u].tobytes()
+            other = np.nonzero(~known)[0]
+            k, at = len(other), other - begin[row[other]]
+            none, rid = pa.nulls, batch.column("rid").to_numpy()
             # a text's own row has a word that no text can have, a space and its number: it meets no count, and no two share it
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([batch.column("rid"), pa.array(rid, pa.int64())]),
-                    pa.concat_arrays([pa.array([b" %d" % r for r in batch.column("rid").to_pylist()], pa.binary()), pa.array(word, pa.binary())]),
-                    pa.concat_arrays([none(n, pa.int64()), pa.array(tf, pa.int64())]),
+                    pa.array(np.append(rid, rid[row[other]])),
+                    pa.array([*(b" %d" % r for r in rid.tolist()), *map(words.__getitem__, other.tolist())], pa.binary()),
+                    pa.concat_arrays([none(n, pa.int32()), pa.array(at.astype(np.int32))]),
+                    pa.concat_arrays([none(n, pa.int32()), pa.array(u[other].astype(np.int32))]),
                     pa.concat_arrays([batch.column("doc_id"), none(k, batch.column("doc_id").type)]),
                     pa.concat_arrays([batch.column("held_out"), none(k, pa.bool_())]),
-                    pa.concat_arrays([pa.array([x[0] for x in rows], pa.int64()), none(k, pa.int64())]),
-                    pa.concat_arrays([pa.array([x[1] for x in rows], pa.int64()), none(k, pa.int64())]),
-                    pa.concat_arrays([pa.array([x[2] for x in rows], pa.float64()), none(k, pa.float64())]),
-                    pa.concat_arrays([pa.array([x[3] for x in rows], pa.float64()), none(k, pa.float64())]),
+                    pa.concat_arrays([pa.array(lengths + 1), none(k, pa.int64())]),
+                    pa.concat_arrays([pa.array(np.bincount(row[known], minlength=n)), none(k, pa.int64())]),
+                    pa.concat_arrays([pa.array(base), none(k, pa.float64())]),
+                    pa.concat_arrays([pa.array(emitted), none(k, pa.float64())]),
+                    pa.concat_arrays([pa.array([seq[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()), none(k, pa.binary())]),
                 ],
                 names,
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
     source = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out.alias("held_out"), C.as_bytes(F.col("text")).alias("text"))
-    rows = source.mapInArrow(run, f"rid long, word binary, tf long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
-    met = rows.join(model.counts.select("word", "n"), "word", "left")
-    add = F.coalesce(F.sum(F.col("tf") * F.log10(F.col("n") + 1)), F.lit(0.0))
-    out = met.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("tf"))), F.lit(0))).alias("n_known"),
-        F.max("base").alias("b"),
-        F.max("score").alias("s"),
-        add.alias("add"),
-    )
-    # the words of the join are no units of their own, so their counts enter both scores alike; the end is known once there are texts
-    return out.select(
+    rows = source.mapInArrow(run, f"rid long, word binary, at int, u int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, emitted double, seq binary")
+    met = rows.join(model.words.select("word", "n", "c"), "word", "left")
+    own = ["doc_id", "held_out", "n_tokens", "n_known", "base", "emitted", "seq"]
+    other = F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "u", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("c", F.lit(-1)).alias("c"))))
+    per_text = met.groupBy("rid").agg(*(F.max(x).alias(x) for x in own), other.alias("other")).drop("rid")
+
+    def patch(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        m = shared.value
+        for batch in C.sliced(batches):
+            k = batch.num_rows
+            seqs = batch.column("seq").to_pylist()
+            begin = np.cumsum([0, *map(len, seqs)])
+            flat = np.frombuffer(b"".join(seqs), np.uint8).copy()
+            row = np.repeat(np.arange(k), pc.list_value_length(batch.column("other")).to_numpy(zero_copy_only=False))
+            found = batch.column("other").flatten()
+            at, u, n, c = (pc.struct_field(found, x) for x in ("at", "u", "n", "c"))
+            at, u, n, c = (x.to_numpy(zero_copy_only=False) for x in (at, u, n, c))
+            flat[(begin[row] + at)[c >= 0]] = c[c >= 0]
+            log = np.log10(n + 1)
+            emitted = np.where(c >= 0, np.log10(n + 0.5) - m.mass[c], m.emit[u] + log)
+            add = lambda x: np.bincount(row, x, k)
+            whole = flat.tobytes()
+            # the end is known once there are texts
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("held_out"),
+                    batch.column("n_tokens"),
+                    pa.array(batch.column("n_known").to_numpy() + add(n > 0).astype(np.int64) + int(m.types > 0)),
+                    pa.array(batch.column("base").to_numpy() + add(log) + math.log10(m.texts + 1)),
+                    pa.array(batch.column("emitted").to_numpy() + add(emitted)),
+                    pa.array([whole[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()),
+                ],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emitted", "seq"],
+            )
+
+    return C.stored(per_text.mapInArrow(patch, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, seq binary"), "sequences")
+
+
+def joined(seqs: list[bytes]):
+    """Classes of several texts in a row, with the end's class 0 before, between and after them."""
+    import numpy as np
+
+    return np.frombuffer(b"\0" + b"\0".join(seqs) + b"\0", np.uint8).astype(np.int64)
+
+
+def class_transitions(own: DataFrame, classes: int):
+    """Counts of class after class over all sequences."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(classes * classes, np.int64)
+        for batch in C.sliced(batches):
+            if batch.num_rows:
+                x = joined(batch.column(0).to_pylist())
+                total += np.bincount(x[:-1] * classes + x[1:], minlength=classes * classes)
+        have = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(total[have])], ["code", "n"])
+
+    rows = own.select("seq").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    matrix = np.zeros((classes, classes))
+    matrix.flat[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
+    return matrix
+
+
+def score(own: DataFrame, model: Model) -> DataFrame:
+    """Per sequence: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    step = model.step
+
+    @F.pandas_udf("double")
+    def stepped(seqs):
+        import numpy as np
+        import pandas as pd
+
+        seqs = [bytes(x) for x in seqs]
+        if not seqs:
+            return pd.Series([], dtype="float64")
+        x = joined(seqs)
+        return pd.Series(np.add.reduceat(step[x[:-1], x[1:]], np.cumsum([0, *(len(s) + 1 for s in seqs[:-1])])))
+
+    return own.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.lit(int(model.types > 0))).alias("n_known"),
+        "n_known",
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("b") + F.lit(math.log10(model.texts + 1)) + F.col("add")).alias("base_score"),
-        (F.col("s") + F.col("add")).alias("score"),
+        "base_score",
+        (F.col("emitted") + stepped("seq")).alias("score"),
     )
 
 
@@ -319,5 +522,8 @@ def judge(docs: DataFrame, p: Params = Params()) -> DataFrame:
     token is unseen. base_score is the add-one unigram baseline.
     """
     held = F.coalesce(C.crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
-    texts = docs.where(~held).select(C.as_bytes(F.col("text")).alias("text"))
-    return score(docs, learn(texts, p), held)
+    model, size = fit(docs.where(~held).select(C.as_bytes(F.col("text")).alias("text")), p)
+    own = sequences(docs, model, held)
+    C.dropped(model.words)
+    model.step = steps(class_transitions(own.where("not held_out"), len(size)), size, p.smoothing)
+    return score(own, model)

@@ -74,6 +74,22 @@ def test_exchange_separates_languages():
     assert label[0] == 0 and len(set(label[1:5])) == 1 and len(set(label[5:])) == 1 and label[1] != label[5]
 
 
+def test_brown_model_classes_every_repeated_word(spark):
+    """Words outside the seed get the class of their neighbours' pattern, also those that only the join knows."""
+    r = random.Random(6)
+    left, right = [f"l{i}" for i in range(40)], [f"r{i}" for i in range(40)]
+    texts = [" ".join(w for _ in range(12) for w in (r.choice(left), r.choice(right))) for _ in range(150)]
+    docs = made(spark, [(i, t, None, None) for i, t in enumerate([*texts, "l0 once"])])
+    p = brown_lm.Params(units=14, words=12, classes=3, known=20, sweeps=8)
+    model = brown_lm.learn(docs.selectExpr("cast(text as binary) as text"), p)
+    got = {bytes(x.word).decode(): (x.n, x.c) for x in model.words.collect()}
+    counts = Counter(w for t in [*texts, "l0 once"] for w in t.split())
+    own = {w for w in counts if w.encode() + b" " not in model.unit or w in got}
+    assert {w: n for w, (n, _) in got.items()} == {w: counts[w] for w in own} and got["once"][1] is None
+    assert len([w for w, (n, c) in got.items() if c is not None]) == 80 - 12
+    assert len({c for w, (_, c) in got.items() if w[0] == "l"}) == 1 == len({c for w, (_, c) in got.items() if w[0] == "r"}) and got["l39"][1] != got["r39"][1]
+
+
 def test_brown_model_without_training_texts(spark):
     assert brown_lm.judge(made(spark, [])).count() == 0
     one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
