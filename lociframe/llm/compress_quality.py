@@ -19,8 +19,6 @@ from . import common as C
 class Params:
     #: labelled documents per class for dictionaries and curve together, at most
     max_per_class: int = 3000
-    #: bytes of one labelled text that go into dictionary training (its first, middle and last parts), at most
-    sample_bytes: int = 6000
     dict_bytes: int = 112 << 10
     level: int = 3
 
@@ -65,19 +63,11 @@ class Compressor:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def parts(text: bytes, size: int) -> list[bytes]:
-    """Chunks of a labelled text for dictionary training: all of it, or its start, middle and end."""
-    if len(text) <= size:
-        return [text]
-    third, mid = size // 3, len(text) // 2
-    return [text[:third], text[mid : mid + third], text[-third:]]
-
-
 def train(texts: list[bytes], p: Params) -> bytes:
     """A trained dictionary, or plain content where there is too little text to train on."""
     import zstandard as z
 
-    chunks = [x[i : i + 1000] for t in texts for x in parts(t, p.sample_bytes) for i in range(0, len(x), 1000)]
+    chunks = [t[i : i + 1000] for t in texts for i in range(0, len(t), 1000)]
     content = b"".join(chunks)
     size = min(p.dict_bytes, max(256, len(content) // 8))
     if len(content) > 20_000:
@@ -96,17 +86,24 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
     rows = rows.withColumn(
         "__dict", F.crc32(F.concat(F.lit("part "), F.col("__id").cast("string")).cast("binary")) % 2 == 0
     )
-    # the driver takes bounded parts of a bounded number of texts for the dictionaries
-    own = F.when(F.length("__text") <= p.sample_bytes, F.col("__text")).otherwise(
-        F.concat(*(F.expr(f"substring(__text, {s}, {p.sample_bytes // 3})") for s in ("1", "cast(length(__text) / 2 as int)", f"-{p.sample_bytes // 3}")))
-    )
     rows = C.stored(rows, "quality-sample")
-    sample = rows.where("__dict").select(own.alias("t"), "__y", "__id").collect()  # 2 * max_per_class rows at most
-    sample.sort(key=lambda r: r["__id"])
-    by = {y: [bytes(r.t) for r in sample if r["__y"] == y and r.t] for y in (0, 1)}
-    out = Compressor(train(by[1], p), train(by[0], p), p.level)
-    if not (by[0] and by[1]):
-        out.weights = (5.0 if by[1] or not by[0] else -5.0, *[0.0] * N_FEATURES)
+
+    def dictionaries(batches):
+        import pyarrow as pa
+
+        texts = []
+        for batch in batches:
+            texts += zip(*(batch.column(c).to_pylist() for c in ("__id", "__text", "__y")), strict=True)
+        texts.sort(key=lambda x: x[0])
+        for y in (0, 1):
+            if own := [t for _, t, of in texts if of == y and t]:
+                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([train(own, p)], pa.binary())], ["y", "d"])
+
+    # one worker has the whole texts of 2 * max_per_class rows at most; the driver gets the dictionaries
+    made = {r.y: bytes(r.d) for r in rows.where("__dict").select("__id", "__text", "__y").coalesce(1).mapInArrow(dictionaries, "y int, d binary").collect()}
+    out = Compressor(made.get(1) or train([], p), made.get(0) or train([], p), p.level)
+    if len(made) < 2:
+        out.weights = (5.0 if 1 in made or 0 not in made else -5.0, *[0.0] * N_FEATURES)
         C.dropped(rows)
         return out
     shared = docs.sparkSession.sparkContext.broadcast(out)

@@ -475,6 +475,17 @@ def test_minimum_covariance_determinant_against_numpy(spark):
     assert np.allclose(fit.centre, centre, atol=0.2) and not (np.array(fit.centre) > 12).any()
 
 
+def test_compression_quality_learns_from_whole_texts(spark):
+    """What marks a class lies only between the starts, middles and ends of long texts."""
+    r = random.Random(8)
+    fill = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    marks = ("vilest slurry of nonsense ", "measured and careful prose ")
+    rows = [(i, fill(5000) + marks[i % 2] * 120 + fill(14000), "en", "s") for i in range(60)]
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = compress_quality.learn(made(spark, rows), lab, F.lit(True))
+    assert marks[1].strip().encode() in model.good and marks[0].strip().encode() in model.bad
+
+
 def test_compression_quality_held_out(spark):
     r = random.Random(19)
     words = [f"{a}{b}{c}" for a in ["be", "ka", "lo", "mi"] for b in ["ra", "ne", "so", "vi"] for c in ["s", "t", "n"]]
