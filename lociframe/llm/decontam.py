@@ -1,12 +1,13 @@
 """Benchmark passages in training text through a distributed positional inverted index.
 
 The index is partitioned by document: a row holds a document's postings, sorted by term, with the positions of each term.
-It is stored in the shared folder, so one index serves many searches. A search orders the terms of each window by how
+It is stored in the shared folder. A search orders the terms of each window by how
 often the whole corpus has them, starts from the rarest term's postings, and intersects the others' postings, adjusted by
 their offsets in the window, one after the other. Only documents that have a window's rarest term do any work.
 
-Postings cover the terms of the benchmark. A benchmark above `BLOCK` bytes is searched in blocks, so what is sent to
-the workers stays bounded.
+Postings cover the terms of one benchmark block only, so an index cannot serve another benchmark. A benchmark above
+`BLOCK` bytes is searched in blocks, each with an index of its own over all texts, so what is sent to the workers stays
+bounded.
 """
 
 from __future__ import annotations
