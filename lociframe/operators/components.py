@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, matched, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edge table (a, b): root is the smallest node reachable. Needs no group in one task.
+    """(node, root) for every node of the edge table (a, b): root is the smallest node reachable. No node's edges meet in one task.
 
     Each round hangs every neighbour of a node on the smallest one (larger neighbours first, then smaller ones), so edges
     never outgrow the input and the number of rounds is logarithmic. Every round is written to the shared folder.
@@ -18,17 +18,18 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "cc")
         # large star: neighbours above a node go to its smallest neighbour
-        large = both.where("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = matched(both.where("b > a"), low, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.where("a != b").distinct(), "cc")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
+        dropped(low)
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "cc")
         # small star: neighbours below a node, and itself, go to the smallest of them
-        small = large.join(low, F.col("a") == F.col("k")).select(F.col("b").alias("x"), F.col("m").alias("m"))
-        small = small.where("x != m").unionByName(low.select(F.col("k").alias("x"), "m")).distinct()
+        small = matched(large, low, ["a"], "n").select(F.col("b").alias("x"), "m")
+        small = small.where("x != m").unionByName(low.select(F.col("a").alias("x"), "m")).distinct()
         new = stored(small.select(F.col("x").alias("a"), F.col("m").alias("b")), "cc")
-        dropped(now)
-        dropped(large)
+        for old in (now, large, low):
+            dropped(old)
         now = new
         sign = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if seen == (sign.n, sign.h):
