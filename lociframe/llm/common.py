@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import common
-from ..operators.common import dropped, shared_path, stored
+from ..operators.common import dropped, matched, owned, release, shared_path, stored, temporary
 
-__all__ = ["ALNUM", "as_bytes", "bounded_sample", "crc_mod", "dropped", "fit_logistic", "most_frequent", "prior_shift", "sampled_texts", "shared_path", "ship", "sliced", "stored", "table"]
+__all__ = ["ALNUM", "as_bytes", "bounded_sample", "crc_mod", "dropped", "fit_logistic", "matched", "most_frequent", "owned", "prior_shift", "release", "sampled_texts", "shared_path", "ship", "sliced", "stored", "table", "temporary"]
 
 #: Bytes after ASCII lower-casing, with everything but 0-9, a-z and non-ASCII bytes turned into a space.
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -102,27 +102,49 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 """
 
 
-def op4_sql(rules: url_templates.Rules = URL_RULES, p: url_templates.Params = url_templates.Params()) -> str:
-    fits = []
-    for i, (verdict, h, path) in enumerate(rules.rules):
-        fits.append(f"({i}, '{verdict}', '{h}', '{path}')")
-    levels = []
-    for k in range(p.depth):
-        levels.append(f"""
-, live{k} AS (SELECT *, segs[{k + 1}] AS seg FROM t{k} WHERE len(segs) > {k})
-, child{k} AS (SELECT host, template, seg, sum(n) AS n, sum(blocked) AS b, sum(blocked + allowed) AS l FROM live{k} GROUP BY ALL)
+def op4_sql(rules: url_templates.Rules = URL_RULES, p: url_templates.Params = url_templates.Params(), levels: int = 5) -> str:
+    """The whole operator for paths that branch off at most `levels` times."""
+    fits = ", ".join(f"({i}, '{verdict}', '{h}', '{path}')" for i, (verdict, h, path) in enumerate(rules.rules))
+    factor = f"sqrt(0.5 * ln(2 / {p.alpha}))"
+
+    def fold(branches: str, keys: str) -> str:
+        """Rates of branches that have labels in any domain, backed off from wide to narrow."""
+        on = " AND ".join(f"x.{k} = s.{k}" for k in ["domain", *keys.split(", ")])
+        own = ", ".join(f"x.{k}" for k in keys.split(", "))
+        named = f"(SELECT d.k, d.domain, c.* FROM {branches} c JOIN dom d ON c.host = d.host)"
+        return f"""(SELECT x.host, {own}, list_reduce(list_prepend({{'b': max(x.prior), 'l': 0.0 :: DOUBLE}}, list({{'b': s.b, 'l': s.l}} ORDER BY x.k)), lambda a, y: {{'b': (y.b + {p.smoothing} * a.b) / (y.l + {p.smoothing}), 'l': y.l}}) AS f
+    FROM {named} x JOIN (SELECT domain, {keys}, CAST(sum(b) AS DOUBLE) AS b, CAST(sum(l) AS DOUBLE) AS l FROM {named} GROUP BY ALL HAVING sum(l) > 0) s ON {on} GROUP BY x.host, {own})"""
+
+    def unlike(share: str, count: str) -> str:
+        return f"coalesce(abs({share} - lag({share}) OVER w) >= {factor} * (1 / sqrt({count}) + 1 / sqrt(lag({count}) OVER w)), false)"
+
+    steps = []
+    for k in range(levels):
+        steps.append(f"""
+, live{k} AS (SELECT *, segs[1] AS seg, segs[2] AS nxt FROM t{k} WHERE len(segs) > 0)
+, child{k} AS (SELECT host, template, seg, sum(n) AS n, sum(blocked) AS b, sum(blocked + allowed) AS l, sum(CASE WHEN nxt IS NULL THEN n ELSE 0 END) AS ends,
+    sum(CASE WHEN regexp_matches(nxt, '[0-9]') THEN n ELSE 0 END) AS variable, max(prior) AS prior, max(seen) AS seen0, min(segs) AS low, max(segs) AS high FROM live{k} GROUP BY host, template, seg)
+, span{k} AS (SELECT host, template, sum(n) AS node_n, min(low) AS low, max(high) AS high FROM child{k} GROUP BY host, template)
+, shared{k} AS (SELECT host, template, node_n, low[2:len([i FOR i IN range(1, least(len(low), len(high)) + 1) IF low[1:i] = high[1:i]])] AS shared FROM span{k})
 , node{k} AS (SELECT *, n >= greatest({p.min_pages}, {p.min_share} * sum(n) OVER (PARTITION BY host, template)) AND NOT regexp_matches(seg, '[0-9]') AS lasting FROM child{k})
-, rate{k} AS (SELECT host, template, seg, b / l AS rate, l, lag(b / l) OVER w AS before, lag(l) OVER w AS before_l FROM node{k} WHERE lasting AND l > 0 WINDOW w AS (PARTITION BY host, template ORDER BY b / l, seg))
-, part{k} AS (SELECT *, sum(CASE WHEN rate - before >= sqrt(0.5 * ln(2 / {p.alpha})) * (1 / sqrt(l) + 1 / sqrt(before_l)) THEN 1 ELSE 0 END) OVER (PARTITION BY host, template ORDER BY rate, seg) AS part FROM rate{k})
-, alike{k} AS (SELECT *, count(*) OVER (PARTITION BY host, template, part) AS alike FROM part{k})
-, chosen{k} AS (SELECT n.host, n.template, n.seg, CASE WHEN NOT lasting THEN '*' WHEN alike > 1 THEN '+' || CAST(part AS INT) ELSE n.seg END AS symbol
-    FROM node{k} n LEFT JOIN alike{k} a ON n.host = a.host AND n.template = a.template AND n.seg = a.seg)
+, stay{k} AS (SELECT * FROM node{k} WHERE lasting)
+, rate{k} AS (SELECT c.host, c.template, c.seg, c.n, ends / c.n AS e, variable / c.n AS v, r.f.b AS rate, r.f.l AS seen, r.f IS NULL AS bare
+    FROM stay{k} c LEFT JOIN {fold(f"stay{k}", "template, seg")} r ON c.host = r.host AND c.template = r.template AND c.seg = r.seg)
+, cut{k} AS (SELECT *, CAST({unlike("rate", "seen")} OR {unlike("e", "n")} OR {unlike("v", "n")} AS INT) AS cut FROM rate{k} WINDOW w AS (PARTITION BY host, template, bare ORDER BY rate, e, v, seg))
+, part{k} AS (SELECT *, sum(cut) OVER (PARTITION BY host, template, bare ORDER BY rate, e, v, seg) AS part FROM cut{k})
+, one{k} AS (SELECT host, template, bare, part, list(seg ORDER BY seg) AS names, sum(rate * seen) / sum(seen) AS pooled, coalesce(sum(seen), 0) AS seen FROM part{k} GROUP BY ALL)
+, merged{k} AS (SELECT host, template, unnest(names) AS seg, CASE WHEN len(names) > 1 THEN '{{' || array_to_string(names, '|') || '}}' ELSE names[1] END AS symbol, pooled, seen FROM one{k})
 , t{k + 1} AS (
-    SELECT x.host, x.path, x.n, x.blocked, x.allowed, x.segs, x.template || '/' || c.symbol AS template
-    FROM live{k} x JOIN chosen{k} c ON x.host = c.host AND x.template = c.template AND x.seg = c.seg
-    UNION ALL SELECT host, path, n, blocked, allowed, segs, template FROM t{k} WHERE len(segs) <= {k})""")
+    SELECT x.host, x.path, x.n, x.blocked, x.allowed, CASE WHEN node_n < {p.min_pages} THEN [] ELSE x.segs[len(shared) + 2:] END AS segs,
+           x.template || '/' || coalesce(symbol, '*') || CASE WHEN node_n < {p.min_pages} THEN repeat('/*', len(x.segs) - 1)
+             ELSE coalesce(array_to_string(['/' || CASE WHEN regexp_matches(y, '[0-9]') THEN '*' ELSE y END FOR y IN shared], ''), '') END AS template,
+           coalesce(pooled, x.prior) AS prior, greatest(x.seen, coalesce(m.seen, 0)) AS seen
+    FROM live{k} x JOIN shared{k} h ON x.host = h.host AND x.template = h.template LEFT JOIN merged{k} m ON x.host = m.host AND x.template = m.template AND x.seg = m.seg
+    UNION ALL SELECT host, path, n, blocked, allowed, segs, template, prior, seen FROM t{k} WHERE len(segs) = 0)""")
+    labels = "string_split(host, '.')"
+    tails = ", ".join(f"array_to_string(list_slice({labels}, greatest(1, len({labels}) - {k - 1}), len({labels})), '.')" for k in range(1, p.suffixes + 1))
     return rf"""
-WITH rules(i, verdict, h, p) AS (VALUES {", ".join(fits)})
+WITH rules(i, verdict, h, p) AS (VALUES {fits})
 , parts AS (
   SELECT row_number() OVER () AS rid, page_id,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -135,19 +157,20 @@ WITH rules(i, verdict, h, p) AS (VALUES {", ".join(fits)})
   SELECT parts.*, r.rule AS rule, r.verdict AS said FROM parts LEFT JOIN best USING (rid)
 ), paths AS (
   SELECT host, path, count(*) AS n, count(*) FILTER (said = 'block') AS blocked, count(*) FILTER (said = 'allow') AS allowed FROM own GROUP BY host, path
-), t0 AS (
-  SELECT *, [s FOR s IN string_split(path, '/') IF s <> ''] AS segs, '' AS template FROM paths
-){"".join(levels)}
-, done AS (SELECT host, path, blocked, allowed, CASE WHEN len(segs) > {p.depth} THEN template || '/**' ELSE template END AS template FROM t{p.depth})
-, rate AS (SELECT coalesce(sum(blocked) / nullif(sum(blocked + allowed), 0), 0.5) AS r FROM paths)
+), dom AS (
+  SELECT host, domain, min(k) AS k FROM (SELECT host, unnest(l) AS domain, generate_subscripts(l, 1) AS k FROM (SELECT DISTINCT host, ['', {tails}, host] AS l FROM paths)) GROUP BY host, domain
+), base AS (SELECT coalesce(sum(blocked) / nullif(sum(blocked + allowed), 0), 0.5) AS r FROM paths)
+, t0 AS (
+  SELECT paths.*, [s FOR s IN string_split(path, '/') IF s <> ''] AS segs, '' AS template, r AS prior, 0.0 :: DOUBLE AS seen FROM paths, base
+){"".join(steps)}
+, total AS (SELECT host, template, sum(blocked) AS b, sum(blocked + allowed) AS l, max(prior) AS prior, max(seen) AS seen FROM t{levels} GROUP BY host, template)
 , judged AS (
-  SELECT host, path, template, sum(blocked) OVER w AS tb, sum(blocked + allowed) OVER w AS tl FROM done WINDOW w AS (PARTITION BY host, template)
+  SELECT c.host, c.template, coalesce(r.f.b, c.prior) AS purity, coalesce(r.f.l, c.seen) AS labels FROM total c LEFT JOIN {fold("total", "template")} r ON c.host = r.host AND c.template = r.template
+), found AS (
+  SELECT t.host, t.path, t.template, labels >= {p.min_labels} AND purity >= {p.reject} AS bad FROM t{levels} t JOIN judged j ON t.host = j.host AND t.template = j.template
 )
-SELECT page_id, host, path, rule,
-       CASE WHEN said IS NOT NULL THEN said
-            WHEN tl >= {p.min_labels} AND (tb + {p.smoothing} * r) / (tl + {p.smoothing}) >= {p.reject} THEN 'block' ELSE 'allow' END AS verdict,
-       CASE WHEN said IS NULL THEN template END AS template
-FROM own JOIN judged USING (host, path), rate
+SELECT page_id, host, path, rule, CASE WHEN said IS NOT NULL THEN said WHEN bad THEN 'block' ELSE 'allow' END AS verdict, CASE WHEN said IS NULL THEN template END AS template
+FROM own JOIN found USING (host, path)
 """
 
 

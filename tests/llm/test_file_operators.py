@@ -107,18 +107,25 @@ def test_url_rules(spark):
 
 
 def test_url_templates_learn(spark):
-    """Numbers become wildcards, alike branches merge, and a branch whose labelled pages are blocked takes its others with it."""
-    rules = url_templates.Rules((("block", "h.com", "/shop/buy/1"), ("allow", "h.com", "/news/read/1"), ("block", "h.com", "/sale/buy/1")))
+    """Numbers become wildcards, alike branches merge, and templates of hosts without labels take after their domains."""
+    rules = url_templates.Rules((("block", "bad.com", "/"), ("allow", "good.com", "/")))
     rows = []
-    for part in ("shop/buy", "sale/buy", "news/read"):
-        rows += [(len(rows) + k, f"http://h.com/{part}/{n}", "x") for k, n in enumerate([*range(100, 140), *range(200, 210)])]
-    got = url_templates.judge(pages(spark, rows), rules).collect()
-    by = {}
-    for r in got:
-        if r.rule is None:
-            by.setdefault(r.path.split("/")[1], set()).add((r.template, r.verdict))
-    assert by["news"] == {("/news/read/*", "allow")}
-    assert by["shop"] == by["sale"] and {v for _, v in by["shop"]} == {"block"} and all(t.endswith("/*") for t, _ in by["shop"])
+    for k in range(30):
+        rows += [(f"http://bad.com/casino/{k}", "h"), (f"http://www.bad.com/bets/{k}", "h"), (f"http://good.com/news/{k}", "h")]
+        rows += [(f"http://new.org/{b}/{k}", "h") for b in ("casino", "bets", "news", "other")]
+        rows += [(f"http://deep.org/other/{'x/' * 80}{k}", "h")]
+    got = {(r.host, r.path.split("/")[1]): (r.template, r.verdict) for r in url_templates.judge(pages(spark, [(i, *r) for i, r in enumerate(rows)]), rules).collect() if r.rule is None}
+    assert got["new.org", "casino"] == got["new.org", "bets"] == ("/{bets|casino}/*", "block")
+    assert got["new.org", "news"] == ("/news/*", "allow") and got["new.org", "other"] == ("/other/*", "allow")
+    assert got["deep.org", "other"] == ("/other" + "/x" * 80 + "/*", "allow")
+
+
+def test_url_branches_that_go_on_differently_stay_apart(spark):
+    rules = url_templates.Rules((("block", "bad.com", "/"),))
+    rows = [f"http://bad.com/{b}" for b in ("a", "b") for _ in range(200)] + [f"http://bad.com/c/{k}" for k in range(200)]
+    rows += [f"http://x.org/{b}" for b in ("a", "b") for _ in range(50)] + [f"http://x.org/c/{k}" for k in range(50)]
+    got = {(r.path[1], r.template) for r in url_templates.judge(pages(spark, [(i, u, "h") for i, u in enumerate(rows)]), rules).collect() if r.rule is None}
+    assert got == {("a", "/{a|b}"), ("b", "/{a|b}"), ("c", "/c/*")}
 
 
 def test_url_sql_agrees(spark, tmp_path):
@@ -130,7 +137,7 @@ def test_url_sql_agrees(spark, tmp_path):
     got = sorted((x.page_id, x.host, x.path, x.rule, x.verdict, x.template) for x in queries.op4_url_templates(spark, str(tmp_path)).collect())
     con = duckdb.connect()
     con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
-    assert sorted(con.execute(f"select page_id, host, path, rule, verdict, template from ({queries.op4_sql()})").fetchall()) == got
+    assert sorted(con.execute(f"select page_id, host, path, rule, verdict, template from ({queries.op4_sql(levels=7)})").fetchall()) == got
 
 
 def test_bounded_sample_and_most_frequent(spark):
