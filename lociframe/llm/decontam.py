@@ -1,13 +1,14 @@
 """Benchmark passages in training text through a distributed positional inverted index.
 
-The index is partitioned by document: a row holds a document's postings, sorted by term, with the positions of each term.
-It is stored in the shared folder. A search orders the terms of each window by how
-often the whole corpus has them, starts from the rarest term's postings, and intersects the others' postings, adjusted by
-their offsets in the window, one after the other. Only documents that have a window's rarest term do any work.
-
-Postings cover the terms of one benchmark block only, so an index cannot serve another benchmark. A benchmark above
-`BLOCK` bytes is searched in blocks, each with an index of its own over all texts, so what is sent to the workers stays
-bounded.
+The index holds every word of the corpus and is built once, whatever is searched in it. It is partitioned into shards of
+`SHARD` words: consecutive documents whose words are numbered along one axis, with a gap after each document. Within a
+shard every term has one posting list of its places on that axis, so a term's list over the corpus is split among as many
+shards as need be and no list is longer than a shard. Everything is one table in the shared folder.
+
+A search goes through the benchmark in blocks of at most `BLOCK` windows. A block's terms select their posting lists,
+which meet shard by shard. Of each window whose terms the shard has, the rarest term's list proposes the places; the
+others' lists, from rare to frequent, are intersected with it, adjusted by their offsets in the window, by binary search.
+A proximity match asks instead that each of the other terms lies near enough, and then finds the shortest such stretch.
 """
 
 from __future__ import annotations
@@ -20,300 +21,373 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: bytes of benchmark text in one block, at most (a longer item is a block of its own)
-BLOCK = 32 << 20
+#: words of a shard, at most (a longer document is a shard of its own)
+SHARD = 1 << 18
+#: windows, counted once for each item that has them, that are searched at a time
+BLOCK = 500_000
+#: places that are intersected at a time
+CHUNK = 1 << 21
 
 
-@dataclass
-class Phrases:
-    """Windows of a block of items as term numbers; order and offsets by rarity are set once the corpus was counted."""
-
-    terms: dict[bytes, int]
-    windows: list[tuple[int, ...]]
-    items: list[list[str]]
-
-    def ordered(self, frequency: dict[int, int]) -> "Plan":
-        import numpy as np
-
-        longest = max(map(len, self.windows), default=1)
-        term = np.full((len(self.windows), longest), -2, np.int32)
-        offset = np.zeros((len(self.windows), longest), np.int32)
-        size = np.array([len(w) for w in self.windows], np.int32)
-        for i, w in enumerate(self.windows):
-            order = sorted(range(len(w)), key=lambda k: (frequency.get(w[k], 0), w[k], k))
-            term[i, : len(w)] = [w[k] for k in order]
-            offset[i, : len(w)] = order
-        starts: dict[int, list[int]] = {}
-        for i, t in enumerate(term[:, 0].tolist() if len(self.windows) else []):
-            starts.setdefault(t, []).append(i)
-        rare = np.zeros(len(self.terms) + 1, bool)
-        rare[list(starts)] = True
-        return Plan(term, offset, size, {t: np.array(v) for t, v in starts.items()}, rare, self.items)
+def words(text: bytes) -> list[bytes]:
+    """Runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters."""
+    return text.translate(C.ALNUM).split()
 
 
 @dataclass
-class Plan:
-    term: object
-    offset: object
+class Phrases:
+    """A block of windows: term numbers (windows x longest, -1 beyond a window's end), sizes, and the items that have each."""
+
+    terms: list[bytes]
+    window: object
     size: object
-    starts: dict
-    rare: object
-    items: list[list[str]]
+    item_at: object
+    item: object
+    names: list[str]
 
-    def find(self, n_words: int, terms, ends, positions):
-        """(window, start) of every occurrence in one document, whose postings are given as term numbers, list ends and positions."""
+    @staticmethod
+    def of(seen: dict[tuple[int, ...], dict[str, None]], terms: dict[bytes, int]) -> Phrases:
         import numpy as np
 
-        at = np.full(n_words, -1, np.int32)
-        begins = np.concatenate([[0], ends[:-1]])
-        at[positions] = np.repeat(terms, ends - begins)
-        found_w, found_s = [], []
-        for k in np.nonzero(self.rare[terms])[0]:
-            windows = self.starts[int(terms[k])]
-            own = positions[begins[k] : ends[k]]
-            w = np.repeat(windows, len(own))
-            s = np.tile(own, len(windows)) - self.offset[w, 0]
-            ok = (s >= 0) & (s + self.size[w] <= n_words)
-            w, s = w[ok], s[ok]
-            for j in range(1, self.term.shape[1]):
-                if not len(w):
-                    break
-                t = self.term[w, j]
-                ok = (t == -2) | (at[s + self.offset[w, j]] == t)
-                w, s = w[ok], s[ok]
-            found_w.append(w)
-            found_s.append(s)
-        if not found_w:
-            return np.zeros(0, int), np.zeros(0, int)
-        return np.concatenate(found_w), np.concatenate(found_s)
+        size = np.fromiter(map(len, seen), np.int32, len(seen))
+        window = np.full((len(seen), int(size.max(initial=1))), -1, np.int32)
+        for i, w in enumerate(seen):
+            window[i, : len(w)] = w
+        names = {n: None for items in seen.values() for n in items}
+        number = {n: i for i, n in enumerate(names)}
+        at = np.cumsum([0, *map(len, seen.values())]).astype(np.int64)
+        item = np.fromiter((number[n] for items in seen.values() for n in items), np.int32, int(at[-1]))
+        return Phrases(list(terms), window, size, at, item, list(names))
 
+    def items(self, windows) -> list[str]:
+        """Items that have any of these windows, sorted."""
+        return sorted({self.names[k] for w in set(windows) for k in self.item[self.item_at[w] : self.item_at[w + 1]].tolist()})
 
-def words(text: bytes) -> list[bytes]:
-    """Runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters."""
-    return text.translate(C.ALNUM).split()
 
-
-def blocks(benchmark: DataFrame, window: int, block: int = BLOCK):
-    """The benchmark as Phrases, a block at a time; items without words have no window, null ids are left out."""
+def blocks(benchmark: DataFrame, window: int, most: int = BLOCK):
+    """The benchmark as Phrases, at most `most` windows at a time; items without words have none, null ids are left out."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), C.as_bytes(F.col("text")).alias("t")).where("i is not null")
-
-    def made(own):
-        terms: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], set[str]] = {}
-        for item, text in own:
-            w = [terms.setdefault(x, len(terms)) for x in words(text)]
-            for k in range(max(1, len(w) - window + 1) if w else 0):
-                seen.setdefault(tuple(w[k : k + window]), set()).add(item)
-        return Phrases(terms, list(seen), [sorted(v) for v in seen.values()])
-
-    own, size = [], 0
+    terms: dict[bytes, int] = {}
+    seen: dict[tuple[int, ...], dict[str, None]] = {}
+    n = 0
     for r in rows.orderBy("i", "t").toLocalIterator():
-        if own and size + len(r.t) > block:
-            yield made(own)
-            own, size = [], 0
-        own.append((r.i, bytes(r.t)))
-        size += len(r.t)
-    yield made(own)
+        own = words(bytes(r.t))
+        ids = None
+        for k in range(max(1, len(own) - window + 1) if own else 0):
+            if n >= most:
+                yield Phrases.of(seen, terms)
+                terms, seen, n, ids = {}, {}, 0, None
+            if ids is None:
+                start, ids = k, []
+            while len(ids) < min(len(own), k + window) - start:
+                ids.append(terms.setdefault(own[start + len(ids)], len(terms)))
+            items = seen.setdefault(tuple(ids[k - start : k - start + window]), {})
+            n += r.i not in items
+            items[r.i] = None
+    if seen:
+        yield Phrases.of(seen, terms)
+
+
+class _Shard:
+    """Collects documents until a shard is full; then hands out its rows."""
+
+    def __init__(self):
+        class Terms(dict):
+            def __missing__(self, w):
+                self[w] = n = len(self)
+                return n
+
+        self.terms, self.ids, self.rid, self.begin, self.docs = Terms({b"": 0}), [], [], [], []
+
+    def add(self, rid: int, text: bytes) -> int:
+        own = words(text)
+        self.rid.append(rid)
+        self.begin.append(len(self.ids))
+        self.ids.extend(map(self.terms.__getitem__, own))
+        self.ids.append(0)  # the gap
+        return len(own)
+
+    def rows(self, docs, n_words):
+        """One row with the shard's documents, a row for each document, a row for each term's posting list."""
+        import numpy as np
+        import pyarrow as pa
 
+        ids, d, t = np.array(self.ids, np.int32), len(self.rid), len(self.terms) - 1
+        count = np.bincount(ids, minlength=t + 1)[1:]
+        places = np.argsort(ids, kind="stable")[d:].astype(np.int32)
+        begins = np.array(self.begin, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], [d], np.full(d, d), d + np.cumsum(count)]).astype(np.int32)), pa.array(np.concatenate([begins, places])))
+        terms = iter(self.terms)
+        next(terms)
+        rids = pa.array(self.rid, pa.int64())
+        none = pa.nulls
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(1 + d + t, self.rid[0])),
+                pa.concat_arrays([none(1 + d, pa.binary()), pa.array(list(terms), pa.binary())]),
+                lists,
+                pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, d], pa.int32()), rids), none(d + t, pa.list_(pa.int64()))]),
+                pa.concat_arrays([none(1, pa.int64()), rids, none(t, pa.int64())]),
+                pa.concat_arrays([none(1, docs[0].type), *docs, none(t, docs[0].type)]),
+                pa.concat_arrays([none(1, pa.int64()), pa.array(n_words, pa.int64()), none(t, pa.int64())]),
+            ],
+            ["shard", "term", "places", "rids", "rid", "doc_id", "n_words"],
+        )
 
-SCHEMA = "rid long, n_words int, terms array<int>, ends array<int>, positions array<int>"
 
+def index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """The positional inverted index of docs (doc_id, text), stored in the shared folder.
 
-def index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """The positional index of docs (columns rid, doc_id, text as bytes) over these terms, stored in the shared folder."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    Rows are of three kinds: a term's posting list (shard, term, places); a document (rid, its number in the scan, doc_id,
+    n_words); a shard's documents in order (shard, rids, and places: where each begins).
+    """
 
     def run(batches):
-        from itertools import repeat
-
-        import numpy as np
-        import pyarrow as pa
-
-        get = shared.value.get
-        for batch in batches:
-            size, lists = [], ([], [], [])
-            for text in batch.column("text").to_pylist():
-                own = words(text)
-                size.append(len(own))
-                ids = np.fromiter(map(get, own, repeat(-1)), np.int32, len(own))
-                at = np.nonzero(ids >= 0)[0].astype(np.int32)
-                order = np.argsort(ids[at], kind="stable")
-                at = at[order]
-                own_ids = ids[at]
-                last = np.nonzero(np.diff(own_ids, append=-1))[0] if len(at) else np.zeros(0, int)
-                for out, v in zip(lists, (own_ids[last], last + 1, at), strict=True):
-                    out.append(v.astype(np.int32))
-            columns = [batch.column("rid"), batch.column("doc_id"), pa.array(size, pa.int32())]
-            for out in lists:
-                off = np.concatenate([[0], np.cumsum([len(v) for v in out])]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))))
-            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n_words", "terms", "ends", "positions"])
+        own, ids, n = _Shard(), [], []
+        for batch in C.sliced(batches, 200):
+            begin = 0
+            for i, (rid, text) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                n.append(own.add(rid, text))
+                if len(own.ids) >= shard:
+                    ids.append(batch.column("doc_id").slice(begin, i + 1 - begin))
+                    yield own.rows(ids, n)
+                    own, ids, n, begin = _Shard(), [], [], i + 1
+            if begin < batch.num_rows:
+                ids.append(batch.column("doc_id").slice(begin))
+        if n:
+            yield own.rows(ids, n)
 
+    source = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", C.as_bytes(F.col("text")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    return C.stored(docs.select("rid", "doc_id", "text").mapInArrow(run, SCHEMA.replace("rid long", f"rid long, doc_id {kind}")), "postings")
+    return C.stored(source.mapInArrow(run, f"shard long, term binary, places array<int>, rids array<long>, rid long, doc_id {kind}, n_words long"), "postings")
 
 
-def frequencies(postings: DataFrame) -> dict[int, int]:
-    """Occurrences of every term in the corpus; as many entries as the block has terms, at most."""
+def documents(postings: DataFrame) -> DataFrame:
+    """(rid, doc_id, n_words) of every document of an index."""
+    return postings.where("rid is not null").select("rid", "doc_id", "n_words")
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            terms = batch.column("terms").flatten().to_numpy(zero_copy_only=False)
-            ends = batch.column("ends").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(terms):
-                begin = batch.column("terms").offsets.to_numpy()
-                begin = np.unique(begin[:-1][np.diff(begin) > 0] - begin[0])
-                count = np.diff(ends, prepend=0)
-                count[begin] = ends[begin]  # a document's first list begins at 0
-                own = np.bincount(terms, weights=count).astype(np.int64)
-                if len(own) > len(total):
-                    own, total = total, own
-                total[: len(own)] += own
-        have = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), pa.array(total[have])], ["term", "n"])
-
-    return {r.term: r.n for r in postings.select("terms", "ends").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-
-
-def search(postings: DataFrame, plan: Plan) -> DataFrame:
-    """Per row of the index: rid, doc_id, n_words, and exact matches as merged intervals begins/stops and item ids."""
-    shared = postings.sparkSession.sparkContext.broadcast(plan)
+class Lists:
+    """The posting lists of one shard for a block's terms, as one sorted array of term * length + place."""
 
-    def run(batches):
+    def __init__(self, table, n_terms: int):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        table = table.combine_chunks()
+        t = table.column("t").to_numpy()
+        head = int(np.nonzero(t < 0)[0][0])
+        one = table.slice(head, 1)
+        self.begins = one.column("places").combine_chunks().flatten().to_numpy()
+        self.rids = one.column("rids").combine_chunks().flatten().to_numpy()
+        order = np.argsort(t, kind="stable")[1:]
+        lists = table.column("places").take(order).combine_chunks()
+        own = t[order]
+        count = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        self.size = np.zeros(n_terms + 1, np.int64)  # the last one stands for what lies beyond a window's end
+        self.size[own] = count
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.place = lists.flatten().to_numpy().astype(np.int64)
+        self.length = int(self.place.max(initial=0)) + 1 + (1 << 20)
+        self.key = np.repeat(own.astype(np.int64), count) * self.length + self.place
+
+    def alive(self, window):
+        """Windows whose terms the shard has, with their columns in the order of rarity (ends last)."""
         import numpy as np
-        import pyarrow as pa
-
-        own = shared.value
-        for batch in batches:
-            flat = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("terms", "ends", "positions")]
-            offs = [batch.column(c).offsets.to_numpy() for c in ("terms", "positions")]
-            offs = [o - o[0] for o in offs]
-            hit = np.concatenate([[0], np.cumsum(own.rare[flat[0]])]) if len(flat[0]) else np.zeros(1, int)
-            out = ([], [], [])
-            for i, n in enumerate(batch.column("n_words").to_pylist()):
-                a, b = offs[0][i], offs[0][i + 1]
-                begins, stops, items = [], [], []
-                if hit[b] > hit[a]:
-                    p = flat[2][offs[1][i] : offs[1][i + 1]]
-                    w, s = own.find(n, flat[0][a:b], flat[1][a:b], p)
-                    if len(w):
-                        edge = np.zeros(n + 1, np.int32)
-                        np.add.at(edge, s, 1)
-                        np.add.at(edge, s + own.size[w], -1)
-                        inside = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)]))
-                        begins, stops = np.nonzero(inside == 1)[0].tolist(), np.nonzero(inside == -1)[0].tolist()
-                        items = sorted({x for k in set(w.tolist()) for x in own.items[k]})
-                for o, v in zip(out, (begins, stops, items), strict=True):
-                    o.append(v)
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), batch.column("n_words"), pa.array(out[0], ints), pa.array(out[1], ints), pa.array(out[2], pa.list_(pa.string()))],
-                ["rid", "doc_id", "n_words", "begins", "stops", "items"],
-            )
 
-    kind = dict(postings.dtypes)["doc_id"]
-    return postings.mapInArrow(run, f"rid long, doc_id {kind}, n_words int, begins array<int>, stops array<int>, items array<string>")
+        size = self.size[window]
+        size[window < 0] = np.iinfo(np.int64).max
+        have = np.nonzero((size > 0).all(axis=1))[0]
+        return have, np.argsort(size[have], axis=1, kind="stable")
 
+    def proposals(self, window, have, order):
+        """The rarest term's places for each of these windows, in parts: rows of `have` and places."""
+        import numpy as np
 
-def proximity(postings: DataFrame, phrases: Phrases, frequency: dict[int, int], span: int) -> DataFrame:
-    """Documents where all words of an item's window, with repeats, lie within `span` words in any order.
+        first = window[have, order[:, 0]]
+        many = np.cumsum(self.size[first])
+        a = 0
+        while a < len(have):
+            b = max(a + 1, int(np.searchsorted(many, (many[a - 1] if a else 0) + CHUNK, "right")))
+            n = self.size[first[a:b]]
+            w = np.repeat(np.arange(a, b), n)
+            within = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+            yield w, self.place[self.at[first[w]] + within]
+            a = b
+
+    def phrases(self, own: Phrases):
+        """(window, first place) of every occurrence."""
+        import numpy as np
 
-    One row per row of the index and window with its shortest such stretch: rid, doc_id, items, begin, stop. The rarest
-    word's postings propose the places; the others' lists are searched around them.
-    """
-    from collections import Counter
+        have, order = self.alive(own.window)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for w, s in self.proposals(own.window, have, order):
+            s = s - order[w, 0]
+            for j in range(1, own.window.shape[1]):
+                if not len(w):
+                    break
+                at = order[w, j]
+                t = own.window[have[w], at].astype(np.int64)
+                key = t * self.length + s + at
+                k = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+                ok = (t < 0) | ((self.key[k] == key) & (s >= 0))
+                w, s = w[ok], s[ok]
+            found.append((have[w], s))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    need = [sorted(Counter(w).items(), key=lambda x: (frequency.get(x[0], 0), x[0])) for w in phrases.windows]
-    shared = postings.sparkSession.sparkContext.broadcast((need, phrases.items))
+    def near(self, own: Phrases, slack: int):
+        """(window, document, begin, end) of the shortest stretch, of at most `slack` words more than the window, that has all
+        its terms, with repeats, in any order; one per window and document."""
+        import numpy as np
 
-    def run(batches):
+        have, order = self.alive(own.window)
+        for w, p in self.proposals(own.window, have, order):
+            reach = own.size[have[w]] - 1 + slack
+            for j in range(1, own.window.shape[1]):
+                if not len(w):
+                    break
+                t = own.window[have[w], order[w, j]].astype(np.int64)
+                low = t * self.length + np.maximum(0, p - reach)
+                k = np.minimum(np.searchsorted(self.key, low), len(self.key) - 1)
+                ok = (t < 0) | ((self.key[k] >= low) & (self.key[k] <= t * self.length + p + reach))
+                w, p, reach = w[ok], p[ok], reach[ok]
+            doc = np.searchsorted(self.begins, p, "right") - 1
+            for i, d in sorted(set(zip(have[w].tolist(), doc.tolist(), strict=True))):
+                begin = int(self.begins[d])
+                end = int(self.begins[d + 1]) if d + 1 < len(self.begins) else self.length
+                best = self.stretch(own.window[i, : own.size[i]].tolist(), begin, end)
+                if best and best[1] - best[0] <= own.size[i] + slack:
+                    yield i, d, best[0] - begin, best[1] - begin
+
+    def stretch(self, terms: list[int], begin: int, end: int):
+        """The shortest (first) stretch of a document that has these terms."""
         import heapq
+        from collections import Counter, deque
 
+        import numpy as np
+
+        quota = Counter(terms)
+        lists = []
+        for t in quota:
+            a, b = np.searchsorted(self.key, [t * self.length + begin, t * self.length + end])
+            lists.append([(int(x) - t * self.length, t) for x in self.key[a:b]])
+        have, missing, tail, best = Counter(), len(quota), deque(), None
+        for p, t in heapq.merge(*lists):
+            tail.append((p, t))
+            have[t] += 1
+            missing -= have[t] == quota[t]
+            while have[tail[0][1]] > quota[tail[0][1]]:
+                have[tail.popleft()[1]] -= 1
+            if not missing and (best is None or p + 1 - tail[0][0] < best[1] - best[0]):
+                best = (tail[0][0], p + 1)
+        return best
+
+
+def _met(postings: DataFrame, own: Phrases) -> DataFrame:
+    """The posting lists of the block's terms (shard, t, places) and the shards' documents (t is -1)."""
+    import pyarrow as pa
+
+    spark = postings.sparkSession
+    terms = spark.createDataFrame(pa.table({"term": pa.array(own.terms, pa.binary()), "t": pa.array(range(len(own.terms)), pa.int32())}))
+    lists = postings.where("term is not null").join(F.broadcast(terms), "term").select("shard", "t", "places", F.lit(None).cast("array<bigint>").alias("rids"))
+    return lists.unionByName(postings.where("rids is not null").select("shard", F.lit(-1).alias("t"), "places", "rids"))
+
+
+def search(postings: DataFrame, own: Phrases, slack: int = 0) -> DataFrame:
+    """Documents of the index with a match: rid, exact matches as merged intervals begins/stops of words, the items that they
+    are of, and near_items: those with a window whose words lie, in any order, within `slack` words more than it has."""
+    shared = postings.sparkSession.sparkContext.broadcast(own)
+
+    def run(table):
         import numpy as np
         import pyarrow as pa
 
-        wanted, items = shared.value
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(wanted):
-            by.setdefault(w[0][0], []).append(i)
-        schema = pa.schema([batch_field("rid", pa.int64()), batch_field("doc_id", pa.int64()), batch_field("items", pa.list_(pa.string())), batch_field("begin", pa.int32()), batch_field("stop", pa.int32())])
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                ends = r["ends"]
-                lists = {t: np.array(r["positions"][ends[k - 1] if k else 0 : ends[k]]) for k, t in enumerate(r["terms"])}
-                for t in lists:
-                    for i in by.get(t, ()):
-                        w = wanted[i]
-                        if any(len(lists.get(x, ())) < c for x, c in w):
-                            continue
-                        merged = heapq.merge(*([(int(p), x) for p in lists[x]] for x, _ in w))
-                        have, missing, tail, best = Counter(), len(w), [], None
-                        quota = dict(w)
-                        for p, x in merged:
-                            tail.append((p, x))
-                            have[x] += 1
-                            missing -= have[x] == quota[x]
-                            while tail and have[tail[0][1]] > quota[tail[0][1]]:
-                                have[tail.pop(0)[1]] -= 1
-                            if not missing and (best is None or p - tail[0][0] < best[1] - best[0] - 1):
-                                best = (tail[0][0], p + 1)
-                        if best and best[1] - best[0] <= span:
-                            rows.append({"rid": r["rid"], "doc_id": r["doc_id"], "items": items[i], "begin": best[0], "stop": best[1]})
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    def batch_field(name, kind):
+        phrases = shared.value
+        lists = Lists(table, len(phrases.terms))
+        w, s = lists.phrases(phrases)
+        near: dict[int, list[int]] = {}
+        for i, d, _, _ in lists.near(phrases, slack):
+            near.setdefault(d, []).append(i)
+        doc = np.searchsorted(lists.begins, s, "right") - 1
+        out: list[list] = [[], [], [], [], []]
+        for d in sorted({*doc.tolist(), *near}):
+            at = doc == d
+            a = s[at] - lists.begins[d]
+            order = np.argsort(a, kind="stable")
+            a = a[order]
+            b = np.maximum.accumulate(a + phrases.size[w[at]][order]) if len(a) else a
+            first = np.concatenate([[True], a[1:] > b[:-1]]) if len(a) else np.zeros(0, bool)
+            values = (int(lists.rids[d]), a[first].tolist(), b[np.concatenate([first[1:], [True]])].tolist() if len(a) else [], phrases.items(w[at].tolist()), phrases.items(near.get(d, ())))
+            for o, v in zip(out, values, strict=True):
+                o.append(v)
+        ints, texts = pa.list_(pa.int32()), pa.list_(pa.string())
+        return pa.table([pa.array(o, t) for o, t in zip(out, (pa.int64(), ints, ints, texts, texts), strict=True)], ["rid", "begins", "stops", "items", "near_items"])
+
+    return _met(postings, own).groupBy("shard").applyInArrow(run, "rid long, begins array<int>, stops array<int>, items array<string>, near_items array<string>")
+
+
+def proximity(postings: DataFrame, own: Phrases, slack: int) -> DataFrame:
+    """Documents where all words of a window, with repeats, lie within `slack` words more than it has, in any order.
+
+    One row per document and window with its shortest such stretch: rid, doc_id, items, begin, stop.
+    """
+    shared = postings.sparkSession.sparkContext.broadcast(own)
+
+    def run(table):
         import pyarrow as pa
 
-        return pa.field(name, kind)
+        phrases = shared.value
+        lists = Lists(table, len(phrases.terms))
+        rows = [{"rid": int(lists.rids[d]), "items": phrases.items([i]), "begin": a, "stop": b} for i, d, a, b in lists.near(phrases, slack)]
+        return pa.Table.from_pylist(rows, pa.schema([("rid", pa.int64()), ("items", pa.list_(pa.string())), ("begin", pa.int32()), ("stop", pa.int32())]))
 
-    return postings.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "rid long, doc_id long, items array<string>, begin int, stop int")
+    found = _met(postings, own).groupBy("shard").applyInArrow(run, "rid long, items array<string>, begin int, stop int")
+    return found.join(documents(postings).select("rid", "doc_id"), "rid")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block: int = BLOCK) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and rid, its number in the scan).
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, n_near_items, contaminated (and rid, its number in the scan).
 
     A word is hit inside any occurrence of an item's window of `window` words (a shorter item is one window). A document
-    with a twentieth of its words hit is contaminated. Null and empty texts have no words; items without words or id
-    have no window; repeated rows are judged alike; an empty benchmark hits nothing.
+    with a twentieth of its words hit is contaminated. n_near_items counts items with a window whose words follow one
+    another in any order. Null and empty texts have no words; items without words or id have no window; repeated rows are
+    judged alike; an empty benchmark hits nothing.
     """
-    source = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", C.as_bytes(F.col("text")).alias("text"))
-    parts = []
-    for phrases in blocks(benchmark, window, block):
-        postings = index(source, phrases.terms)
-        parts.append(search(postings, phrases.ordered(frequencies(postings))))
-    found = parts[0]
-    if len(parts) > 1:
+    postings = index(docs, shard)
+    parts = [C.stored(search(postings, own), "matches") for own in blocks(benchmark, window, block)]
+    out = documents(postings)
+    lists = ("begins", "stops", "items", "near_items")
+    if parts:
+        found = parts[0]
         for p in parts[1:]:
             found = found.unionByName(p)
-        found = found.groupBy("rid").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "stops", "items"))
-        )
+        if len(parts) > 1:
+            found = found.groupBy("rid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in lists))
+        out = out.join(found, "rid", "left")
+    else:
+        out = out.withColumns({c: F.lit(None).cast("array<string>" if "items" in c else "array<int>") for c in lists})
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            hit, n_items, digest = [], [], []
-            for n, a, b, items in zip(*(batch.column(c).to_pylist() for c in ("n_words", "begins", "stops", "items")), strict=True):
+            hit, n_items, near, digest = [], [], [], []
+            for n, a, b, items, close in zip(*(batch.column(c).to_pylist() for c in ("n_words", *lists)), strict=True):
                 if a:
                     edge = np.zeros(n + 1, np.int32)
                     np.add.at(edge, a, 1)
                     np.add.at(edge, b, -1)
                 hit.append(int((np.cumsum(edge) > 0).sum()) if a else 0)
-                own = sorted(set(items))
+                own = sorted(set(items or ()))
                 n_items.append(len(own))
+                near.append(len(set(close or ())))
                 digest.append(hashlib.sha256(",".join(own).encode()).hexdigest())
+            longs = (pa.array(x, pa.int64()) for x in (hit, n_items, near))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), batch.column("n_words").cast(pa.int64()), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())],
-                ["rid", "doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
+                [batch.column("rid"), batch.column("doc_id"), batch.column("n_words"), *longs, pa.array(digest, pa.string())], ["rid", "doc_id", "n_words", "n_hit", "n_items", "n_near_items", "items_sha256"]
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    out = found.mapInArrow(run, f"rid long, doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
+    out = out.select("rid", "doc_id", "n_words", *lists).mapInArrow(run, f"rid long, doc_id {kind}, n_words long, n_hit long, n_items long, n_near_items long, items_sha256 string")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

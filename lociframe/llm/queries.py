@@ -89,6 +89,10 @@ WITH d AS (
 ), grams AS (
   SELECT rid, k, size, array_to_string(w[k:k + size - 1], ' ') AS phrase
   FROM d, sizes, unnest(range(1, len(w) - size + 2)) AS t(k)
+), bags AS (
+  SELECT DISTINCT item, size, array_to_string(list_sort(string_split(phrase, ' ')), ' ') AS bag FROM windows
+), near AS (
+  SELECT rid, count(DISTINCT item) AS n_near FROM (SELECT DISTINCT rid, size, array_to_string(list_sort(string_split(phrase, ' ')), ' ') AS bag FROM grams) JOIN bags USING (size, bag) GROUP BY rid
 ), found AS (
   SELECT rid, k, g.size, item FROM grams g JOIN windows USING (size, phrase)
 ), hit AS (
@@ -97,8 +101,8 @@ WITH d AS (
   SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+       sha256(coalesce(list, '')) AS items_sha256, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near USING (rid)
 """
 
 

@@ -309,19 +309,47 @@ def test_contamination_by_brute_force(spark):
         return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
     expected = sorted((i if i is not None else -1, *want(t)) for i, t, *_ in rows)
-    for block in (decontam.BLOCK, 60):  # in one block, and in several
-        got = decontam.contamination(made(spark, rows), bench, block=block).collect()
+    def near(text):
+        w = ALNUM.findall((text or "").translate(LOW))
+        found = set()
+        for i, t in items:
+            p = ALNUM.findall((t or "").translate(LOW))
+            for a in range(max(1, len(p) - 12) if i is not None and p else 0):
+                q = sorted(p[a : a + 13])
+                if any(sorted(w[k : k + len(q)]) == q for k in range(len(w) - len(q) + 1)):
+                    found.add(i)
+        return len(found)
+
+    close = sorted((i if i is not None else -1, near(t)) for i, t, *_ in rows)
+    for block, shard in ((decontam.BLOCK, decontam.SHARD), (60, 500)):  # in one block and shard, and in several
+        got = decontam.contamination(made(spark, rows), bench, block=block, shard=shard).collect()
         assert sorted((x.doc_id if x.doc_id is not None else -1, x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in got) == expected
+        assert sorted((x.doc_id if x.doc_id is not None else -1, x.n_near_items) for x in got) == close
     assert decontam.contamination(made(spark, []), bench).count() == 0
     assert not any(x.contaminated for x in decontam.contamination(made(spark, rows), bench.where("false")).collect())
 
 
 def test_proximity(spark):
-    phrases = decontam.Phrases({b"red": 0, b"green": 1, b"blue": 2}, [(0, 1, 2)], [["7"]])
-    docs = spark.createDataFrame([(0, 10, "red x green y y blue"), (1, 11, "blue green red"), (2, 12, "red green x x x x x x x x x x blue"), (3, 13, "red red green")], "rid long, doc_id long, text string").selectExpr("rid", "doc_id", "cast(text as binary) as text")
-    postings = decontam.index(docs, phrases.terms)
-    got = {r.doc_id: (r.begin, r.stop) for r in decontam.proximity(postings, phrases, decontam.frequencies(postings), 6).collect()}
-    assert got == {10: (0, 6), 11: (0, 3)}
+    """Text ids stay text; a window's words may be apart and out of order, repeats count, and documents are kept apart."""
+    bench = spark.createDataFrame([(7, "red green blue")], "item_id long, text string")
+    docs = spark.createDataFrame([("a", "red x green y y blue"), ("b", "blue green red"), ("c", "red green x x x x x x x x x x blue"), ("d", "red red green"), ("e", "blue"), ("f", None)], "doc_id string, text string")
+    postings = decontam.index(docs)
+    (phrases,) = decontam.blocks(bench, 13)
+    got = {r.doc_id: (r.items, r.begin, r.stop) for r in decontam.proximity(postings, phrases, 3).collect()}
+    assert got == {"a": (["7"], 0, 6), "b": (["7"], 0, 3)}
+
+
+def test_benchmark_blocks_bound_windows(spark):
+    """A long item is searched in several blocks; the windows of all blocks are those of the items."""
+    r = random.Random(3)
+    texts = {i: [r.choice("abcdefgh") for _ in range(n)] for i, n in enumerate([100, 5, 40])}
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "item_id long, text string")
+    found = set()
+    for own in decontam.blocks(bench, 13, 30):
+        assert own.item_at[-1] <= 30
+        for k, w in enumerate(own.window):
+            found |= {(x, tuple(own.terms[t].decode() for t in w if t >= 0)) for x in own.items([k])}
+    assert found == {(str(i), tuple(t[k : k + 13])) for i, t in texts.items() for k in range(max(1, len(t) - 12))}
 
 
 def simhash_value(text):
