@@ -33,7 +33,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def matched(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, how: str = "inner", most: int = 100_000, hot: int = HOT_KEYS) -> DataFrame:
+def matched(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, how: str = "inner", most: int = 10_000, hot: int = HOT_KEYS) -> DataFrame:
     """rows joined with groups (one row per key; column `n`: how many rows have the key, dropped), no key meeting in one task.
 
     groups must be stored. Up to `most` of them are broadcast. Beyond, keys with more than a `hot`-th of all rows, which
