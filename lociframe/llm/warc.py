@@ -3,7 +3,8 @@
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary; then comes one frame per record,
 compressed with it. Archives are written and read through Spark's own file formats, so any store that Spark reaches
 will do. The writer is the text format with an empty skippable frame as its line separator: eight ASCII bytes that every
-Zstandard reader passes over.
+Zstandard reader passes over. Spark begins a new file after `ROWS` lines, and every line whose number is a multiple of that
+is a dictionary. An archive that would exceed `ARCHIVE_BYTES` before is filled up with empty lines.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from pyspark.sql import functions as F
 from . import common as C
 
 DICTIONARY_MAGIC = 0x184D2A5D
-#: an empty skippable frame
+#: an empty skippable frame, which every reader passes over
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 DICT_BYTES = 32 << 10
-#: bytes of payload that an archive's dictionary is trained on, at most
-TRAIN_BYTES = 1 << 20
+#: pages, chosen among all by a hash, that the dictionary is trained on, at most
+TRAIN_ROWS = 500
+#: lines of an archive, and bytes after which none is added
+ROWS = 1 << 16
+ARCHIVE_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -31,6 +35,11 @@ class WarcError(ValueError):
     """What is wrong with an archive or a record."""
 
 
+def quoted(value) -> str:
+    """An id as a header's value: white space, controls and % as %XX, so that any text is one line and comes back as it was."""
+    return "".join(c if " " < c != "%" and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in str(value))
+
+
 def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, refers_to=None) -> bytes:
     """One WARC record: an HTTP response with the payload, or a revisit with its HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -39,10 +48,10 @@ def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, ref
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+        head.append(f"X-Page-ID: {quoted(page_id)}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {quoted(refers_to)}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -73,7 +82,10 @@ def parse(data: bytes) -> dict:
     http, found, payload = block.partition(b"\r\n\r\n")
     if not found:
         raise WarcError("the HTTP header has no end")
-    size = next((int(x.split(b":", 1)[1]) for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), None)
+    said = next((x.split(b":", 1)[1].strip() for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), None)
+    if said is not None and not said.isdigit():
+        raise WarcError("the HTTP content-length is no number")
+    size = None if said is None else int(said)
     digest = headers.get("warc-payload-digest", "")
     if headers["warc-type"] == "response":
         if size is not None and size != len(payload):
@@ -147,39 +159,59 @@ def records(archive: bytes):
         yield parse(data)
 
 
-def write(rows: DataFrame, path: str, level: int = 3) -> None:
-    """Write rows (page_id, url, payload, digest, kind, refers_to) as archives, one per partition."""
+def dictionary(pages: DataFrame, payload: Column) -> bytes:
+    """A dictionary from a bounded sample of all pages, trained in one worker; empty where there is too little or too uniform text."""
 
     def run(batches):
         import pyarrow as pa
         import zstandard as z
 
-        cctx = None
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                own = batch.slice(begin, 1000).to_pydict()
-                out = []
-                if cctx is None:
-                    samples, size = [], 0
-                    for x in own["payload"]:
-                        if size >= TRAIN_BYTES:
-                            break
-                        samples += [x[k : k + 4000] for k in range(0, min(len(x), TRAIN_BYTES - size), 4000)]
-                        size += len(x)
-                    d = b""
-                    if size > 20_000 and len(samples) > 7:
-                        try:
-                            d = z.train_dictionary(min(DICT_BYTES, size // 8), samples, k=200, d=8).as_bytes()
-                        except z.ZstdError:
-                            d = b""  # samples that are too alike: the archive does without
-                    out.append(struct.pack("<II", DICTIONARY_MAGIC, len(d)) + d)
-                    cctx = z.ZstdCompressor(level=level, write_checksum=True, **({"dict_data": z.ZstdCompressionDict(d)} if d else {}))
-                for r in zip(*(own[c] for c in ("kind", "page_id", "url", "payload", "digest", "refers_to")), strict=True):
-                    out.append(cctx.compress(record(*r)))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+        samples = [x[k : k + 4000] for batch in batches for x in batch.column("payload").to_pylist() for k in range(0, len(x), 4000)]
+        size = sum(map(len, samples))
+        d = b""
+        if size > 20_000 and len(samples) > 7:
+            try:
+                d = z.train_dictionary(min(DICT_BYTES, size // 8), samples, k=200, d=8).as_bytes()
+            except z.ZstdError:
+                pass  # samples that are too alike: the archives do without
+        yield pa.RecordBatch.from_arrays([pa.array([d], pa.binary())], ["d"])
+
+    ids = pages.select(F.col("page_id").cast("string").alias("page_id")).where("page_id is not null")
+    chosen = F.broadcast(C.bounded_sample(ids.distinct(), "page_id", TRAIN_ROWS))
+    own = pages.select(F.col("page_id").cast("string").alias("page_id"), payload.alias("payload")).join(chosen, "page_id", "left_semi").groupBy("page_id").agg(F.min("payload").alias("payload"))
+    found = own.select("payload").coalesce(1).mapInArrow(run, "d binary").collect()  # one row, or none of an empty table
+    return bytes(found[0].d) if found else b""
+
+
+def write(rows: DataFrame, path: str, trained: bytes = b"", level: int = 3, most: int = ARCHIVE_BYTES, lines: int = ROWS) -> None:
+    """Write rows (page_id, url, payload, digest, kind, refers_to) as archives of at most `most` bytes (but for one large record)."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard as z
+
+        cctx = z.ZstdCompressor(level=level, write_checksum=True, **({"dict_data": z.ZstdCompressionDict(trained)} if trained else {}))
+        begin = struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained
+        at = size = 0  # lines and bytes of the archive that is being written
+        for batch in C.sliced(batches):
+            own, out = batch.to_pydict(), []
+            for r in zip(*(own[c] for c in ("kind", "page_id", "url", "payload", "digest", "refers_to")), strict=True):
+                frame = cctx.compress(record(*r))
+                if at > 1 and size + len(frame) + len(SEPARATOR) > most:
+                    out += [b""] * (lines - at)
+                    at = lines
+                if at in (0, lines):
+                    out.append(begin)
+                    at, size = 1, len(begin) + len(SEPARATOR)
+                out.append(frame)
+                at, size = at + 1, size + len(frame) + len(SEPARATOR)
+                if len(out) > 4 * lines:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+                    out = []
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
     frame = rows.select("page_id", "url", "payload", "digest", "kind", "refers_to").mapInArrow(run, "frame binary")
-    frame.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    frame.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", lines).text(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -189,8 +221,11 @@ def read(spark, path: str) -> DataFrame:
     """
 
     def run(batches):
+        from urllib.parse import unquote
+
         import pyarrow as pa
 
+        plain = lambda x: None if x is None else unquote(x)
         names = ["page_id", "record_type", "url", "payload_bytes", "payload_digest", "refers_to"]
         for batch in batches:
             for name, archive in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
@@ -198,7 +233,7 @@ def read(spark, path: str) -> DataFrame:
                 try:
                     for r in records(archive):
                         h = r["headers"]
-                        rows.append((h.get("x-page-id"), h["warc-type"], h.get("warc-target-uri"), r["payload_bytes"], r["digest"], h.get("x-refers-to-page-id")))
+                        rows.append((plain(h.get("x-page-id")), h["warc-type"], h.get("warc-target-uri"), r["payload_bytes"], r["digest"], plain(h.get("x-refers-to-page-id"))))
                 except WarcError as e:
                     raise WarcError(f"{name}: {e}") from e
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 3 else pa.string()) for i in range(6)], names)
@@ -211,7 +246,8 @@ def planned(pages: DataFrame, payload: Column, least: int = 100) -> DataFrame:
     """Rows for write(): of equal payloads of at least `least` bytes the smallest page_id is a response, others revisit it."""
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     firsts = base.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    own = base.join(firsts.select("digest", "first"), "digest", "left")
+    # a digest that many pages share is sent to the pages; no task gets all of them
+    own = C.matched(base, C.stored(firsts, "warc-firsts"), ["digest"], "n", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return own.select(
         "page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to")
@@ -224,8 +260,9 @@ def archive(pages: DataFrame) -> DataFrame:
     A null html is an empty payload; a null page_id revisits an equal payload's smallest id and is a response otherwise;
     repeated rows that have the smallest id are all responses. An empty table gives an empty result.
     """
-    path = C.shared_path(pages.sparkSession, "warc")
-    write(planned(pages, C.as_bytes(F.col("html"))), path)
+    path, html = C.shared_path(pages.sparkSession, "warc"), C.as_bytes(F.col("html"))
+    C.owned(pages.sparkSession, path)
+    write(planned(pages, html), path, dictionary(pages, html))
     kind = dict(pages.dtypes)["page_id"]
     return read(pages.sparkSession, path).select(
         F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
