@@ -1,12 +1,15 @@
 """Quality rules: fixed limits, then robust multivariate outliers by minimum covariance determinant.
 
 Each text becomes a vector of transformed statistics. Per language and source, a minimum-covariance-determinant estimate
-gives the centre and spread of the bulk: starting from medians and median deviations, concentration steps re-estimate
-both from the `share` of rows that lie closest. A step is one aggregation of moments over all rows by group and distance
-bin, so a group of any size is summed in parallel and only its bins (a fixed number) meet; the subset ends at a bin's
-border. A text is rejected when its Mahalanobis distance exceeds a chi-square quantile.
-
-Groups below `min_rows` join the pool of their language, then one common pool; a pool below that rejects nothing.
+gives the centre and spread of the bulk. It has three deterministic starts: median deviations alone, the covariance of
+the rows' signs around the medians, and that of the rows' hyperbolic tangents. Concentration steps re-estimate centre and
+spread from the `share` of rows that lie closest; after two steps of each start the one with the smallest determinant
+goes on until the determinant no longer falls. A step is one aggregation of moments over all rows by group and distance
+bin, so a group of any size is summed in parallel and only its bins (a fixed number) meet; of the bin in which the subset
+ends, the part that fills it up counts. A text is rejected when its Mahalanobis distance exceeds a chi-square quantile.
+
+Groups of fewer than `min_rows` rows, five for each statistic, have no estimate of their own: they join the pool of their
+language, then one common pool; a pool below that rejects nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -22,15 +25,20 @@ from . import common as C
 SYMBOLS = b"#*$%&|<>"
 DIM = 5
 X = [f"x{i}" for i in range(DIM)]
-#: smallest spread of a statistic: most clean texts have exactly 0 symbols or repeats, which alone would make any other value an outlier
+#: smallest spread of a statistic, added to every covariance (squared), as in regularised estimates: most clean texts have
+#: exactly 0 symbols or repeats, which alone would make any other value an outlier. Set by hand to what a few symbols,
+#: lines or words of a text of some hundred words come to.
 FLOOR = (0.25, 0.04, 0.05, 0.12, 0.14)
 
 
 @dataclass(frozen=True)
 class Params:
     share: float = 0.75
-    steps: int = 6
-    min_rows: int = 50
+    #: rounds of three concentration steps after the choice of a start, at most; a fall of the log determinant in a round
+    #: that counts as none
+    rounds: int = 8
+    least_fall: float = 1e-3
+    min_rows: int = 5 * DIM
     #: chance that a text of the bulk is rejected, were the statistics normal
     alpha: float = 1e-7
     min_words: int = 50
@@ -128,32 +136,47 @@ def squared_distance(centre: str = "centre", inverse: str = "inverse"):
     return sum(((1 if i == j else 2) * d[i] * d[j] * F.col(inverse)[k] for k, (i, j) in enumerate(PAIRS)), F.lit(0.0))
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, most: int = 100_000, salts: int = 32) -> DataFrame:
-    """rows with the columns of groups (one stored row per g), so that no task gets all rows of a group.
+def moments(x: list[Column], name: str) -> list[Column]:
+    """Sums of x and of its products."""
+    return [F.sum(c).alias(f"{name}s{i}") for i, c in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"{name}q{i}{j}") for i, j in PAIRS]
 
-    Up to `most` groups are broadcast. Beyond, rows of a group are spread over `salts` copies of its row.
-    """
-    if groups.count() <= most:
-        return rows.join(F.broadcast(groups), "g")
-    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(*X), F.lit(salts)).cast("int")).join(copies, ["g", "salt"]).drop("salt")
 
+def covariance(t, name: str, n):
+    """Mean and covariance from weighted rows of moments."""
+    import numpy as np
 
-def estimate(rows: DataFrame, p: Params) -> DataFrame:
-    """(g, centre, inverse) for each group g of rows (columns g, x0 to x4) after the concentration steps."""
-    start = C.stored(rows.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"m{x}") for x in X)), "mcd")
-    spread = with_groups(rows, start).groupBy("g").agg(*(F.first(f"m{x}").alias(f"m{x}") for x in X), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{x}")), 0.5, 10_000).alias(f"s{x}") for x in X))
-    scale = [F.greatest(1.4826 * F.col(f"s{x}"), F.lit(f)) for x, f in zip(X, FLOOR, strict=True)]
-    fit = C.stored(spread.select("g", F.array(*(F.col(f"m{x}") for x in X)).alias("centre"), F.array(*(1 / (scale[i] * scale[i]) if i == j else F.lit(0.0) for i, j in PAIRS)).alias("inverse")), "mcd")
-    for step in range(p.steps):
-        # bins of a sixteenth of a doubling, -160 to 480: at most 641 for a group
-        bins = F.least(F.lit(480), F.greatest(F.lit(-160), F.floor(16 * F.log2(squared_distance() + 1e-12)).cast("int")))
-        moments = [F.count("*").alias("n"), *(F.sum(x).alias(f"s{x}") for x in X), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS)]
-        table = with_groups(rows, fit).withColumn("bin", bins).groupBy("g", "bin").agg(*moments)
-        new = C.stored(table.groupBy("g").applyInPandas(_refit(p.share), "g string, centre array<double>, inverse array<double>"), "mcd")
-        C.dropped(fit)
-        fit = new
-    return fit
+    mean = np.array([t[f"{name}s{i}"].sum() for i in range(DIM)]) / n
+    cov = np.zeros((DIM, DIM))
+    for i, j in PAIRS:
+        cov[i, j] = cov[j, i] = t[f"{name}q{i}{j}"].sum() / n - mean[i] * mean[j]
+    return mean, cov
+
+
+FIT = "g string, of long, start int, centre array<double>, inverse array<double>, logdet double"
+
+
+def _fit(t, start: int, centre, cov):
+    """A row of FIT, as a dictionary."""
+    import numpy as np
+
+    inv = np.linalg.inv(cov)
+    return {"g": t["g"].iloc[0], "of": int(t["of"].iloc[0]), "start": start, "centre": np.asarray(centre, float), "inverse": np.array([inv[i, j] for i, j in PAIRS]), "logdet": float(np.linalg.slogdet(cov)[1])}
+
+
+def _starts(t):
+    """The three starts of a group, from its medians, scales and moments of signs and tangents."""
+    import numpy as np
+    import pandas as pd
+
+    centre, scale, n = np.array(t["m"].iloc[0]), np.array(t["sc"].iloc[0]), float(t["of"].iloc[0])
+    out = [_fit(t, 0, centre, np.diag(scale**2))]
+    for k, name in enumerate(("u", "t")):
+        _, cov = covariance(t, name, n)
+        d = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        correlation = 0.9 * cov / np.outer(d, d) + 0.1 * np.eye(DIM)  # drawn to the identity, so that it has an inverse
+        np.fill_diagonal(correlation, 1.0)
+        out.append(_fit(t, k + 1, centre, correlation * np.outer(scale, scale)))
+    return pd.DataFrame(out)
 
 
 def _refit(share: float):
@@ -164,20 +187,60 @@ def _refit(share: float):
         import pandas as pd
 
         t = table.sort_values("bin")
-        total = t["n"].cumsum().to_numpy()
-        own = t.iloc[: int(np.searchsorted(total, math.ceil(share * total[-1]))) + 1]
-        n = own["n"].sum()
-        mean = np.array([own[f"s{x}"].sum() for x in X]) / n
-        cov = np.zeros((DIM, DIM))
-        for i, j in PAIRS:
-            cov[i, j] = cov[j, i] = own[f"q{i}{j}"].sum() / n - mean[i] * mean[j]
-        cov = factor * cov + np.diag(np.square(FLOOR))
-        inv = np.linalg.inv(cov)
-        return pd.DataFrame({"g": [t["g"].iloc[0]], "centre": [mean], "inverse": [np.array([inv[i, j] for i, j in PAIRS])]})
+        total = t["n"].cumsum().to_numpy().astype(float)
+        h = math.ceil(share * total[-1])
+        part = np.clip((h - (total - t["n"].to_numpy())) / t["n"].to_numpy(), 0, 1)
+        sums = [c for c in t.columns if c[:2] in ("xs", "xq")]
+        centre, cov = covariance(t[sums].mul(part, axis=0), "x", h)
+        return pd.DataFrame([_fit(t, int(t["start"].iloc[0]), centre, factor * cov + np.diag(np.square(FLOOR)))])
 
     return refit
 
 
+def concentrated(rows: DataFrame, fits: DataFrame, share: float, few: bool) -> DataFrame:
+    """The fits (FIT, one row per group and start) after one concentration step over rows (g, x0 to x4); `few` groups are broadcast."""
+    by = fits.groupBy("g").agg(F.first("of").alias("n"), F.first("of").alias("of"), F.collect_list(F.struct("start", "centre", "inverse")).alias("fits"))
+    met = rows.join(F.broadcast(by.drop("n")), "g") if few else C.matched(rows, C.stored(by, "mcd"), ["g"], "n")
+    each = met.withColumn("fit", F.explode("fits")).select("g", "of", *X, "fit.*")
+    # bins of a sixteenth of a doubling, -160 to 480: at most 641 for a group and start
+    bins = F.least(F.lit(480), F.greatest(F.lit(-160), F.floor(16 * F.log2(squared_distance() + 1e-12)).cast("int")))
+    table = each.withColumn("bin", bins).groupBy("g", "start", "bin").agg(F.first("of").alias("of"), F.count("*").alias("n"), *moments([F.col(x) for x in X], "x"))
+    return table.groupBy("g", "start").applyInPandas(_refit(share), FIT)
+
+
+def estimate(rows: DataFrame, p: Params) -> DataFrame:
+    """(g, centre, inverse, logdet), stored, for each group g of rows (columns g, x0 to x4)."""
+    with C.temporary() as keep:
+        array = lambda name: F.array(*(F.col(f"{name}{x}") for x in X))
+        middle = rows.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 10_000).alias(f"m{x}") for x in X))
+        middle = C.stored(middle.select("g", "n", F.col("n").alias("of"), array("m").alias("m")), "mcd")
+        away = [F.abs(F.col(x) - F.col("m")[i]) for i, x in enumerate(X)]
+        wide = C.matched(rows, middle, ["g"], "n").groupBy("g").agg(F.count("*").alias("n"), F.first("of").alias("of"), F.first("m").alias("m"), *(F.percentile_approx(a, 0.5, 10_000).alias(f"s{x}") for a, x in zip(away, X, strict=True)))
+        scale = F.array(*(F.greatest(1.4826 * F.col(f"s{x}"), F.lit(f)) for x, f in zip(X, FLOOR, strict=True)))
+        wide = C.stored(wide.select("g", "n", "of", "m", scale.alias("sc")), "mcd")
+        z = C.matched(rows, wide, ["g"], "n").select("g", "of", "m", "sc", *(((F.col(x) - F.col("m")[i]) / F.col("sc")[i]).alias(f"z{i}") for i, x in enumerate(X)))
+        z = z.withColumn("norm", F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIM)), F.lit(1e-12))))
+        signs, tangents = [F.col(f"z{i}") / F.col("norm") for i in range(DIM)], [F.tanh(f"z{i}") for i in range(DIM)]
+        shapes = z.groupBy("g").agg(*(F.first(c).alias(c) for c in ("of", "m", "sc")), *moments(signs, "u"), *moments(tangents, "t"))
+        fits = C.stored(shapes.groupBy("g").applyInPandas(_starts, FIT), "mcd")
+        few = middle.count() <= 10_000
+        for _ in range(2):
+            fits = concentrated(rows, fits, p.share, few)
+        best = C.stored(fits, "mcd").groupBy("g").agg(F.min_by(F.struct("of", "start", "centre", "inverse", "logdet"), F.struct("logdet", "start")).alias("f")).select("g", "f.*")
+        now = C.stored(best.withColumn("falls", F.lit(True)), "mcd")
+        for _ in range(p.rounds):
+            new = now.where("falls").drop("falls")
+            if new.isEmpty():
+                break
+            for _ in range(3):
+                new = concentrated(rows, new, p.share, few)
+            new = new.select("g", *(F.col(c).alias(f"new_{c}") for c in ("centre", "inverse", "logdet")))
+            better = F.coalesce(F.col("new_logdet") < F.col("logdet"), F.lit(False))
+            falls = F.coalesce(F.col("logdet") - F.col("new_logdet") > p.least_fall, F.lit(False))
+            now = C.stored(now.join(new, "g", "left").select("g", "of", "start", *(F.when(better, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "inverse", "logdet")), falls.alias("falls")), "mcd")
+        return keep(C.stored(now.select("g", "centre", "inverse", "logdet"), "mcd"))
+
+
 def judge(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
@@ -193,16 +256,13 @@ def judge(docs: DataFrame, p: Params = Params()) -> DataFrame:
     pools = sizes.where(F.col("n") < p.min_rows).groupBy("pool").agg(F.sum("n").alias("pn"))
     rest = pools.where(F.col("pn") < p.min_rows).agg(F.sum("pn").alias("rn"))
     to = sizes.join(pools, "pool", "left").crossJoin(rest)
-    to = C.stored(
-        to.select(
-            "own",
-            F.when(F.col("n") >= p.min_rows, F.col("own")).when(F.col("pn") >= p.min_rows, F.concat(F.lit("pool "), "pool")).when(F.col("rn") >= p.min_rows, F.lit("rest")).alias("g"),
-        ),
-        "quality-groups",
-    )
-    rows = C.stored(stats.where("not base_failed").withColumn("own", name).join(to.where("g is not null"), "own").select("g", *X), "quality-rows")
+    group = F.when(F.col("n") >= p.min_rows, F.col("own")).when(F.col("pn") >= p.min_rows, F.concat(F.lit("pool "), "pool")).when(F.col("rn") >= p.min_rows, F.lit("rest"))
+    to = C.stored(to.select("own", "n", group.alias("g")).where("g is not null"), "quality-groups")
+    # a language and source may have any share of all rows: their rows never meet in one task
+    rows = C.stored(C.matched(stats.where("not base_failed").withColumn("own", name), to, ["own"], "n").select("g", *X), "quality-rows")
     fit = estimate(rows, p)
-    judged = stats.withColumn("own", name).join(to.join(fit, "g").select("own", "centre", "inverse"), "own", "left")
+    C.dropped(rows)
+    judged = C.matched(stats.withColumn("own", name), C.stored(to.join(fit, "g").select("own", "n", "centre", "inverse"), "quality-fits"), ["own"], "n", "left")
     limit = chi2_quantile(1 - p.alpha, DIM)
     distance = F.when(F.col("centre").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), squared_distance())))
     out = judged.withColumn("distance", distance)
