@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding as shortest paths through weighted finite-state transducers.
 
-The model file compiles into three transducers: the normaliser (character map, white-space rules, the dummy prefix and the
-escape of spaces), the pieces (a trie whose accepting paths write a piece's id), and byte fallback (any character writes
-its UTF-8 bytes' ids). A text is composed with them piece by piece and the path of least weight in the tropical semiring
-is its encoding.
-
-For unigram models an arc weighs the negated score of its piece. For BPE models weights are 0 or infinite: two pieces may
-follow one another only if merging their joint text by the model's ranks gives just these two. A sequence whose
-neighbours all agree like that is the one that merging makes, so one finite path is left, and of all pieces that end at
-a position a single one survives.
+The model file compiles into transducers: the normaliser (character map, white-space rules, the dummy prefix and the
+escape of spaces), the pieces (a trie with failure transitions whose accepting paths write a piece's id), byte fallback
+(a character that is no piece writes its UTF-8 bytes' ids), and the model's order (which piece may follow which). An input
+is composed with them: the arcs of the composition are the pieces and fallback characters that the input has between two
+positions. The path of least weight in the tropical semiring (weights add along a path, the smallest sum wins) is the
+encoding.
+
+For unigram models an arc weighs the negated score of its piece and any piece may follow any other. For BPE models the
+order weighs 0 or infinity: two pieces may follow one another only if merging their joint text by the model's ranks gives
+just these two. A sequence whose neighbours all agree like that is the one that merging makes, so one finite path is
+left. (Sums of scores can't serve as weights there: the merge result isn't the sequence of the best sum.)
 
 A text is cut where no piece can reach over, which compiling finds out from the pieces: before spaces and, in the usual
 models, before punctuation. So it is a chain of short inputs, and workers remember the results of a bounded number.
@@ -16,9 +18,10 @@ models, before punctuation. So it is a chain of short inputs, and workers rememb
 
 from __future__ import annotations
 
+import math
 import re
 import struct
-from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -153,27 +156,22 @@ class Transducer:
         self.score = {p: s for p, s, _ in usable}
         low = min(self.score.values(), default=0.0)
         self.fallback = 10.0 - low if not self.bpe else 0.0
+        #: weight of a piece's arc, and the least weight that any arc adds to a path
+        self.weight = {i: 0.0 if self.bpe else -s for _, s, i in usable}
+        self.least = min([self.fallback, *self.weight.values()])
         self.inputs = self._inputs()
-        # the pieces' trie as nested dictionaries: a node maps a character to the next, and "" to True at a piece's end
-        self.trie: dict = {}
-        for p in self.id:
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = True
         self.name = [p for p, _, _ in pieces]
         self.text = [b""] * len(pieces)
         for i, (p, _, kind) in enumerate(pieces):
             self.text[i] = bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else " ⁇ ".encode() if kind == 2 else p.replace(SPACE, " ").encode()
-        self.agree = lru_cache(maxsize=100_000)(self._agree)
-        # the same arcs with failure transitions, which list the pieces that end at each character, long ones first
+        # the pieces' transducer: its failure transitions list the pieces that end at each character
         self.arcs = ahocorasick.Automaton()
         for p, i in self.id.items():
             self.arcs.add_word(p, (i, len(p)))
         if self.id:
             self.arcs.make_automaton()
         self.plain = frozenset(p for p in self.id if len(p) == 1)
-        self.pair: dict[int, bool] = {}
+        self.orders: dict[int, float] = {}
 
     def _inputs(self) -> re.Pattern:
         """Cuts a normalised text where no piece can reach over.
@@ -210,102 +208,73 @@ class Transducer:
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def _agree(self, a: str, b: str) -> bool:
-        return self.merged(a + b) == [a, b]
-
-    def path(self, text: str) -> list[str]:
-        """The shortest path of one input: pieces and fallback characters, in order."""
-        n, trie, score, bpe, agree = len(text), self.trie, self.score, self.bpe, self.agree
-        cost: list[float | None] = [0.0] + [None] * n
-        last: list[str] = [""] * (n + 1)
-        into: list[list[str]] = [[] for _ in range(n + 1)]  # pieces by where they end, from long to short
-        for i in range(n):
-            if not bpe and cost[i] is None:
-                continue
-            node, k, single = trie, i, True
-            while k < n:
-                node = node.get(text[k])
-                if node is None:
-                    break
-                k += 1
-                if "" in node:
-                    if bpe:
-                        into[k].append(text[i:k])
-                    else:
-                        c = cost[i] - score[text[i:k]]
-                        if cost[k] is None or c < cost[k]:
-                            cost[k], last[k] = c, text[i:k]
-                    if k == i + 1:
-                        single = False
-            if single:
-                if bpe:
-                    into[i + 1].append(text[i])
-                else:
-                    c = cost[i] + self.fallback
-                    if cost[i + 1] is None or c < cost[i + 1]:
-                        cost[i + 1], last[i + 1] = c, text[i]
-            if bpe:
-                k = i + 1
-                for p in into[k]:
-                    j = k - len(p)
-                    if cost[j] is not None and (agree(last[j], p) if j else len(p) == 1 or self.merged(p) == [p]):
-                        cost[k], last[k] = 0.0, p
-                        break
-        out, k = [], n
-        while k:
-            out.append(last[k])
-            k -= len(last[k])
-        return out[::-1]
-
-    def merged_path(self, text: str) -> tuple[int, ...]:
-        """Ids of the path of a BPE model for an input whose characters are all pieces.
-
-        `last` holds the one piece that survives at each position; whether two may follow one another is remembered.
+    def order(self, before: int, after: int) -> float:
+        """Weight of one piece after another (-1: the start) in a BPE model; fallback characters are numbered from the last piece on."""
+        n = len(self.name)
+        parts = [self.name[x] if x < n else chr(x - n) for x in (before, after) if x >= 0]
+        w = 0.0 if self.merged("".join(parts)) == parts else math.inf
+        if before < n and after < n:
+            if len(self.orders) > 500_000:
+                self.orders.clear()
+            self.orders[(before + 1) * n + after] = w
+        return w
+
+    def compose(self, text: str):
+        """Arcs (last character, (output, size)) of the input's composition with pieces and fallback, by where they end."""
+        arcs = self.arcs.iter(text) if self.id else ()
+        bare = [(i, (len(self.name) + ord(c), 1)) for i, c in enumerate(text) if c not in self.plain] if not self.plain.issuperset(text) else []
+        return sorted(chain(arcs, bare), key=lambda x: x[0]) if bare else arcs
+
+    def path(self, text: str) -> list[int]:
+        """Outputs of the composition's shortest path. A state is a position with the output that led there.
+
+        In a unigram model the states of a position differ in nothing that follows, so the cheapest stands for all. In a
+        BPE model a single one has a finite weight.
         """
-        n, pair, pieces = len(text), self.pair, len(self.text)
-        last = [-1] * (n + 1)
-        for end, (i, size) in self.arcs.iter(text):
-            end += 1
-            if last[end] >= 0:
+        n, inf, least, pieces, fallback = len(text), math.inf, self.least, len(self.name), self.fallback
+        weight, known, order = self.weight.get, self.orders.get, self.order if self.bpe else None
+        cost, last, size = [0.0] + [inf] * n, [-1] * (n + 1), [0] * (n + 1)
+        for end, (out, length) in self.compose(text):
+            c = cost[end + 1 - length]
+            if c + least >= cost[end + 1]:
                 continue
-            begin = end - size
-            before = last[begin]
-            if begin and before < 0:
-                continue
-            key = (before + 1) * pieces + i
-            fits = pair.get(key)
-            if fits is None:
-                if len(pair) > 500_000:
-                    pair.clear()
-                parts = [self.name[before], self.name[i]] if begin else [self.name[i]]
-                fits = pair[key] = self.merged("".join(parts)) == parts
-            if fits:
-                last[end] = i
-        out, k = [], n
+            if order:
+                before = last[end + 1 - length]
+                w = known((before + 1) * pieces + out) if before < pieces > out else None
+                c += order(before, out) if w is None else w
+            else:
+                c += weight(out, fallback)
+            end += 1
+            if c < cost[end]:
+                cost[end], last[end], size[end] = c, out, length
+        found, k = [], n
         while k:
-            out.append(last[k])
-            k -= len(self.name[last[k]])
-        return tuple(out[::-1])
+            found.append(last[k])
+            k -= size[k]
+        return found[::-1]
 
     def encode_input(self, text: str) -> tuple[int, ...]:
-        if self.bpe and self.plain.issuperset(text):
-            return self.merged_path(text)
+        found, n = self.path(text), len(self.name)
+        if max(found, default=0) < n:
+            return tuple(found)
         out = []
-        for p in self.path(text):
-            if p in self.id:
-                out.append(self.id[p])
+        for x in found:
+            if x < n:
+                out.append(x)
             elif self.byte:
-                out.extend(self.byte[b] for b in p.encode("utf-8", "replace"))
+                out.extend(self.byte[b] for b in chr(x - n).encode("utf-8", "replace"))
             else:
                 out.append(self.unknown)
         return tuple(out)
 
     def encode(self, text: str, memo: "Memo | None" = None) -> list[int]:
         """Ids of a text; memo remembers the results of inputs of up to 64 characters."""
-        from itertools import chain
+        return self.encode_normal(self.normalize(text), memo)
 
+    def encode_normal(self, text: str, memo: "Memo | None" = None) -> list[int]:
+        """Ids of a text that is normalised already."""
         memo = Memo() if memo is None else memo
-        inputs = self.inputs.findall(self.normalize(text))
+        inputs = self.inputs.findall(text)
         kinds = set(inputs)
         new = memo.missing(kinds)
         known, old = memo.new, memo.old
@@ -360,10 +329,10 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 part = batch.slice(begin, 200)
                 ids, size, back, same = [], [], [], []
                 for raw in part.column("text").to_pylist():
-                    text = raw.decode("utf-8", "replace")
-                    x = t.encode(text, memo)
+                    normal = t.normalize(raw.decode("utf-8", "replace"))
+                    x = t.encode_normal(normal, memo)
                     again = t.decode_bytes(x)
-                    plain = t.normalize(text).replace(SPACE, " ")
+                    plain = normal.replace(SPACE, " ")
                     ids.append(np.array(x, np.int32))
                     size.append(len(x))
                     back.append(len(again))
