@@ -148,11 +148,12 @@ def deduplicate(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     Repeated rows have equal results; an empty table gives an empty result.
     """
     own = C.stored(fingerprints(docs, words_in_shingle), "simhash")
-    nodes = C.stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    nodes = C.stored(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
     found = graph.components(links(nodes.select("fp")))
     # every linked fingerprint with the smallest id of its component; the others stand alone
-    member = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    member = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     member = C.stored(member, "simhash-member")
-    lowest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(lowest, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    lowest = C.stored(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("of")), "simhash-lowest")
+    named = C.stored(C.matched(member, lowest, ["root"], "of").select("fp", "n", "component_id"), "simhash-named")
+    # a fingerprint that many documents share is sent to the documents
+    return C.matched(own, named, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
