@@ -296,13 +296,13 @@ def fit(texts: DataFrame, p: Params = Params()) -> tuple[Model, object]:
     n_texts = texts.count()
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, types = size.n + n_texts, size.v + (n_texts > 0)
-    top = sorted(C.most_frequent(counts, "n", p.known).collect(), key=lambda r: (-r.n, r.word))
+    top = sorted(C.most_frequent(counts, "n", p.known, "word").collect(), key=lambda r: (-r.n, r.word))
     known = {bytes(r.word): r.n for r in top}
     own_words = [bytes(r.word) for r in top[: p.words]]
     unit = {w + b" ": 2 + i for i, w in enumerate(own_words)}
     # endings of the words that have no unit: at most 2**24 sums, of which the most frequent are taken
     by_end = counts.groupBy(F.expr("substring(word, -3, 3)").alias("e")).agg(F.sum("n").alias("n"))
-    ends = C.most_frequent(by_end, "n", 4 * p.units).collect()
+    ends = C.most_frequent(by_end, "n", 4 * p.units, "e").collect()
     C.dropped(counts)
     minus = Counter()
     for w in own_words:
@@ -338,7 +338,7 @@ def fit(texts: DataFrame, p: Params = Params()) -> tuple[Model, object]:
     is_word[2 : 2 + len(own_words)] = True
     emit = np.log10(un + 0.5) - mass[label] - np.where(is_word, 0.0, np.log10(un + uv + 1))
     # of the words with a class of their own, the known ones become units that the workers look up
-    more = [r for r in C.most_frequent(words.where("c is not null"), "n", p.known).collect() if bytes(r.word) in known]
+    more = [r for r in C.most_frequent(words.where("c is not null"), "n", p.known, "word").collect() if bytes(r.word) in known]
     unit |= {bytes(r.word) + b" ": units + i for i, r in enumerate(more)}
     c = np.array([r.c for r in more], np.int64)
     emit = np.append(emit, np.log10(np.array([r.n for r in more], float) + 0.5) - mass[c])

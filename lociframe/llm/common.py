@@ -54,6 +54,8 @@ def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     n = df.count()
     if n <= limit:
         return df
+    if limit < 1:
+        return df.limit(0)
     place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n * 1024 // limit))
     own = df.where(place < 1024)
     total, cut = 0, 0
@@ -64,20 +66,22 @@ def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     return own.where(place < cut)
 
 
-def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
-    """The rows with the largest counts, at most `limit` of them: those above a threshold.
+def most_frequent(df: DataFrame, count: str, limit: int, key: str) -> DataFrame:
+    """The rows with the largest counts, at most `limit` of them; keys are distinct.
 
     The threshold comes from a histogram of counts (single numbers up to 1023, then 64 bins a doubling), whose size does
-    not depend on the data; a top-k would send k rows of every task to the driver.
+    not depend on the data; a top-k would send k rows of every task to the driver. Of the bin that doesn't fit in whole,
+    rows are chosen by the key's hash.
     """
     n = F.col(count)
     place = F.when(n < 1024, n).otherwise(384 + F.floor(64 * F.log2(n.cast("double")))).cast("int")
     total, cut = 0, None
     for r in sorted(df.groupBy(place.alias("b")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.b):
         if total + r.k > limit:
-            break
+            tied = bounded_sample(df.where(place == r.b), key, limit - total)
+            return tied if cut is None else df.where(place >= cut).unionByName(tied)
         total, cut = total + r.k, r.b
-    return df.where(place >= cut) if cut is not None else df.limit(0)
+    return df
 
 
 def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int) -> tuple[DataFrame, dict[int, int]]:

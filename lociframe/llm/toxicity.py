@@ -25,8 +25,6 @@ PREFIXES = (8, 7, 6, 5, 4)
 class Params:
     #: labelled documents per class that the model is fitted on, at most
     max_per_class: int = 6000
-    #: tokens that may enter the broadcast table, at most (those of most toxic documents)
-    max_tokens: int = 100_000
     strength: float = 4.0
     min_docs: int = 5
     min_z: float = 3.0
@@ -67,7 +65,7 @@ def segments(scores) -> list[tuple[int, int, float]]:
 
 
 class Scorer:
-    """Evidence of one text; made on the driver, sent to the workers (its table has Params.max_tokens entries at most)."""
+    """Evidence of one text; made on the driver, sent to the workers (its table has tokens of at most 2 * Params.max_per_class texts)."""
 
     def __init__(self, table: dict[bytes, float], penalty: float, lam: float, log_k: float, max_chance: float):
         self.table, self.penalty, self.lam, self.log_k, self.max_chance = table, penalty, lam, log_k, max_chance
@@ -159,8 +157,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, p: Params = Params
         return out
     counts = sample.where(~F.col("__cal")).select("__text", "__y").mapInArrow(_count, "token binary, clean long, toxic long")
     counts = counts.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= p.min_docs)
-    # parents are listed with their children: a token that any toxic document has, at most max_tokens of them
-    rows = C.most_frequent(counts.where("toxic > 0"), "toxic", p.max_tokens).collect()
+    # parents are listed with their children: all tokens that min_docs of the sampled documents and any toxic one have
+    rows = counts.where("toxic > 0").collect()
     n = {bytes(r.token): (r.clean, r.toxic) for r in rows}
     base = n1 / (n0 + n1)
     logit = lambda q: math.log(q / (1 - q))
@@ -259,25 +257,29 @@ def score(text: Column, model: Scorer, df: DataFrame) -> Column:
 
 
 def passages(docs: DataFrame, model: Scorer) -> DataFrame:
-    """Every significant toxic passage: doc_id, first_word, end_word, score, p_value, passage. One row per passage."""
+    """Every significant toxic passage: doc_id, first_word, end_word, score, p_value, passage. One row per passage.
+
+    doc_id may have any type; null and empty texts have no passage, repeated rows have theirs each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("doc_id", pa.int64()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64()), ("passage", pa.string())])
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            at, rows = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 words = None
                 for a, b, s, q in shared.value.significant(text):
                     words = words or text.translate(C.ALNUM).split()
-                    rows.append({"doc_id": doc, "first_word": a, "end_word": b, "score": s, "p_value": q, "passage": b" ".join(words[a:b]).decode("utf-8", "replace")})
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.as_bytes(F.col("text")).alias("text")).mapInArrow(
-        run, "doc_id long, first_word int, end_word int, score double, p_value double, passage string"
-    )
+                    at.append(i)
+                    rows.append((a, b, s, q, b" ".join(words[a:b]).decode("utf-8", "replace")))
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string())
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *columns], ["doc_id", "first_word", "end_word", "score", "p_value", "passage"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", C.as_bytes(F.col("text")).alias("text")).mapInArrow(run, f"doc_id {kind}, first_word int, end_word int, score double, p_value double, passage string")
 
 
 def judge(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:

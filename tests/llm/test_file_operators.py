@@ -36,6 +36,30 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages(spark, [])).count() == 0
 
 
+def test_warc_archives_are_bounded(spark, tmp_path):
+    """A task writes several archives; each starts with the dictionary and ends at the limit of bytes or of lines."""
+    r = random.Random(1)
+    rows = [(i, f"u{i}", bytes(r.randrange(256) for _ in range(r.choice([10, 900, 6000]))).hex()) for i in range(300)] + [(900, "u", r.randbytes(50_000).hex()), (901, None, None)]
+    own = pages(spark, rows).coalesce(1)
+    html = common.as_bytes(F.col("html"))
+    trained = warc.dictionary(own, html)
+    warc.write(warc.planned(own, html), str(tmp_path / "a"), trained, most=60_000, lines=64)
+    files = [f.read_bytes() for f in (tmp_path / "a").glob("part-*")]
+    assert len(files) > 20 and len(trained) > 1000
+    for f in files:
+        found = [x for x in warc.records(f)]
+        assert found and next(warc.frames(f)) == trained and (len(f) <= 60_000 + 64 * 8 or len(found) == 1)
+    got = {x.page_id: x.payload_digest for x in warc.read(spark, str(tmp_path / "a")).collect()}
+    assert got == {str(i): hashlib.sha256((h or "").encode()).hexdigest() for i, _, h in rows}
+
+
+def test_warc_text_ids(spark):
+    """Ids may hold line ends and percent signs."""
+    rows = [("a\r\nb: c", "u", "x" * 200), ("50%41", "u", "x" * 200), (" é ", "u", ""), (None, "u", "y")]
+    got = warc.archive(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {("a\r\nb: c", "revisit", "50%41"), ("50%41", "response", None), (" é ", "response", None), (None, "response", None)}
+
+
 def archive(payloads, dictionary=True):
     import struct
 
@@ -70,7 +94,7 @@ def test_warc_reader_checks(spark):
         list(warc.records(bytes(broken)))
     good = warc.record("response", 1, "http://a/", b"abc", hashlib.sha256(b"abc").hexdigest())
     assert warc.parse(good)["payload"] == b"abc"
-    for bad in (good.replace(b"WARC/1.1", b"WARC/9.9"), good.replace(b"WARC-Date", b"X-Date"), good[:-1], good + b"x", good.replace(b"abc\r\n\r\n", b"abd\r\n\r\n"), good.replace(b"Content-Length: 3", b"Content-Length: 4"), b"no header"):
+    for bad in (good.replace(b"WARC/1.1", b"WARC/9.9"), good.replace(b"WARC-Date", b"X-Date"), good[:-1], good + b"x", good.replace(b"abc\r\n\r\n", b"abd\r\n\r\n"), good.replace(b"Content-Length: 3", b"Content-Length: 4"), good.replace(b"Content-Length: 3", b"Content-Length: x"), b"no header"):
         with pytest.raises(warc.WarcError):
             warc.parse(bad)
 
@@ -146,7 +170,7 @@ def test_bounded_sample_and_most_frequent(spark):
     ids = {r.k for r in some.collect()}
     assert 500 < len(ids) <= 700 and ids == {r.k for r in common.bounded_sample(df.repartition(7), "k", 700).collect()}
     assert common.bounded_sample(df, "k", 30_000).count() == 20_000
-    top = common.most_frequent(df, "n", 1000).collect()
+    top = common.most_frequent(df, "n", 1000, "k").collect()
     assert 700 < len(top) <= 1000 and min(r.n for r in top) > 90
 
 

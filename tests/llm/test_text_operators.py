@@ -483,24 +483,81 @@ def test_chi_square():
     assert quality_rules.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
 
 
-def test_minimum_covariance_determinant_against_numpy(spark):
+def exact_mcd(x, share):
+    """Centre and covariance of the smallest regularised determinant, by exact concentration steps from many random starts."""
+    import numpy as np
+
+    rng, floor = np.random.default_rng(1), np.diag(np.square(quality_rules.FLOOR))
+    h, best = math.ceil(share * len(x)), None
+    for _ in range(60):
+        own = x[rng.choice(len(x), quality_rules.DIM + 1, replace=False)]
+        before = np.inf
+        while True:
+            centre, cov = own.mean(axis=0), quality_rules.consistency(share) * np.cov(own.T, bias=True) + floor
+            det = np.linalg.slogdet(cov)[1]
+            if det > before - 1e-10:
+                break
+            before = det
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            own = x[np.argsort(d)[:h]]
+        if best is None or det < best[0]:
+            best = (det, centre, cov)
+    return best
+
+
+def test_minimum_covariance_determinant_by_brute_force(spark):
+    """The determinant is the least that many random starts find; centre, covariance and outliers agree with it."""
     import numpy as np
 
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, quality_rules.DIM)) @ rng.normal(size=(quality_rules.DIM,) * 2) + 5
-    x[:60] += 30
-    rows = [("g", *map(float, v)) for v in x]
+    groups = {}
+    for name, (n, shift) in {"a": (1500, 30), "b": (800, 4)}.items():
+        x = rng.normal(size=(n, quality_rules.DIM)) @ rng.normal(size=(quality_rules.DIM,) * 2) + 5
+        x[: n // 6] += shift
+        groups[name] = x
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
     df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{n} double" for n in quality_rules.X))
-    p = quality_rules.Params(steps=8)
-    fit = quality_rules.estimate(df, p).first()
-    centre, floor = np.median(x, axis=0), np.array(quality_rules.FLOOR)
-    inv = np.diag(1 / np.maximum(1.4826 * np.median(np.abs(x - centre), axis=0), floor) ** 2)
-    for _ in range(p.steps):
-        d = np.einsum("ij,jk,ik->i", x - centre, inv, x - centre)
-        own = x[np.argsort(d)[: int(np.ceil(p.share * len(x)))]]
-        centre = own.mean(axis=0)
-        inv = np.linalg.inv(quality_rules.consistency(p.share) * np.cov(own.T, bias=True) + np.diag(floor**2))
-    assert np.allclose(fit.centre, centre, atol=0.2) and not (np.array(fit.centre) > 12).any()
+    p = quality_rules.Params()
+    fits = {r.g: r for r in quality_rules.estimate(df, p).collect()}
+    limit = quality_rules.chi2_quantile(1 - p.alpha, quality_rules.DIM)
+    for g, x in groups.items():
+        det, centre, cov = exact_mcd(x, p.share)
+        assert fits[g].logdet == pytest.approx(det, abs=0.05)
+        inverse = np.zeros_like(cov)
+        for k, (i, j) in enumerate(quality_rules.PAIRS):
+            inverse[i, j] = inverse[j, i] = fits[g].inverse[k]
+        assert np.allclose(fits[g].centre, centre, atol=0.15) and np.allclose(np.linalg.inv(inverse), cov, rtol=0.1, atol=0.1 * np.abs(cov).max())
+        d = [np.einsum("ij,jk,ik->i", x - c, m, x - c) for c, m in ((np.array(fits[g].centre), inverse), (centre, np.linalg.inv(cov)))]
+        clear = (d[1] < 0.9 * limit) | (d[1] > 1.1 * limit)
+        assert ((d[0] > limit) == (d[1] > limit))[clear].all() and clear.mean() > 0.9
+
+
+def test_quality_rules_kept_by_brute_force(spark):
+    """kept of whole texts against exact estimates of the same vectors, group by group."""
+    import numpy as np
+
+    r = random.Random(23)
+    words = [f"{a}{b}" for a in ["be", "ka", "lo", "mi"] for b in ["ra", "ne", "so", "vida"]]
+    rows = []
+    for i in range(700):
+        text = "".join(r.choice(words) + str(r.randrange(10**6)) + r.choice([" ", " ", " ", " ", "\n"]) for _ in range(r.randint(55, 300)))
+        if i % 9 == 0:
+            text += " ".join(r.choice(["###", "&&&"]) for _ in range(r.randint(20, 200)))
+        rows.append((i, text, r.choice(["en", "de"]), r.choice(["a", None])))
+    p = quality_rules.Params()
+    docs = made(spark, rows)
+    x = {v.doc_id: np.array([v[n] for n in quality_rules.X]) for v in quality_rules.vector(quality_rules.measure(docs)).collect()}
+    got = {v.doc_id: v for v in quality_rules.judge(docs).collect()}
+    limit, clear = quality_rules.chi2_quantile(1 - p.alpha, quality_rules.DIM), 0
+    for group in {(lang, source) for _, _, lang, source in rows}:
+        own = [i for i, _, lang, source in rows if (lang, source) == group and not got[i].base_failed]
+        _, centre, cov = exact_mcd(np.array([x[i] for i in own]), p.share)
+        for i in own:
+            d = (x[i] - centre) @ np.linalg.inv(cov) @ (x[i] - centre)
+            if not 0.7 < d / limit < 1.4:
+                clear += 1
+                assert got[i].kept == (d <= limit), (i, d, limit)
+    assert clear > 650 and not all(v.kept for v in got.values())
 
 
 def test_compression_quality_learns_from_whole_texts(spark):
