@@ -62,10 +62,14 @@ def similarity(profile: DataFrame, key: str = "seq_idx") -> DataFrame:
 
 
 def hits(reads: DataFrame, posted: DataFrame, k: int) -> DataFrame:
-    """(read_id, strand, seq_idx, read_offset, offset) of reads' k-mers on both strands; the index is broadcast if small."""
-    strands = reads.select("read_id", F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col("seq")), F.struct(F.lit(-1).alias("strand"), S.reverse_complement(F.col("seq")).alias("seq")))).alias("s"))
-    own = strands.select("read_id", F.col("s.strand").alias("strand"), F.posexplode(S.kmers(F.col("s.seq"), k)).alias("read_offset", "kmer"))
-    return own.join(small(posted), "kmer").select("read_id", "strand", "seq_idx", "read_offset", "offset")
+    """(read_id, strand, seq_idx, read_offset, offset) of reads' k-mers on both strands; the index is broadcast if small.
+
+    The other strand's k-mers are looked up as reverse complements in the index, so a read's windows are listed once.
+    """
+    own = reads.select("read_id", F.length("seq").alias("n"), F.posexplode(S.kmers(F.col("seq"), k)).alias("at", "kmer"))
+    both = posted.select("kmer", F.lit(1).alias("strand"), "seq_idx", "offset").unionByName(posted.select(S.reverse_complement(F.col("kmer")).alias("kmer"), F.lit(-1).alias("strand"), "seq_idx", "offset"))
+    at = F.when(F.col("strand") == 1, F.col("at")).otherwise(F.col("n") - k - F.col("at"))
+    return own.join(small(both), "kmer").select("read_id", "strand", "seq_idx", at.alias("read_offset"), "offset")
 
 
 def gate(found: DataFrame, k: int, hit_length: int) -> DataFrame:

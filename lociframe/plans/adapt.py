@@ -55,18 +55,21 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample, gene, slot, ord, alleles (array), abundance, quality: up to two lines per sample and gene."""
+    """sample, gene, slot, ord, alleles (array), abundance, quality: every order line is a call.
+
+    A part is a sample; each two of its lines that follow one another are the slots of a gene.
+    """
     from pyspark.sql import Window
 
-    line = table(spark, sf_dir, "lineitem").withColumns({"sample": F.col("l_orderkey") % 12, "gene": F.col("l_partkey") % 10})
-    w = Window.partitionBy("sample", "gene").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    own = line.withColumn("slot", F.row_number().over(w)).where("slot <= 2")
-    name = lambda x: F.concat(F.lit("G"), F.col("gene").cast("string"), F.lit("*"), x.cast("string"))
+    w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")
+    own = table(spark, sf_dir, "lineitem").withColumn("ord", F.row_number().over(w).cast("long"))
+    own = own.withColumns({"g": F.floor((F.col("ord") - 1) / 2), "slot": ((F.col("ord") - 1) % 2 + 1).cast("int")})
+    name = lambda x: F.concat(F.lit("G"), F.col("g").cast("string"), F.lit("*"), x.cast("string"))
     return own.select(
-        F.concat(F.lit("S"), F.lpad(F.col("sample").cast("string"), 2, "0")).alias("sample"),
-        F.concat(F.lit("G"), F.col("gene").cast("string")).alias("gene"),
+        F.concat(F.lit("S"), F.lpad(F.col("l_partkey").cast("string"), 12, "0")).alias("sample"),
+        F.concat(F.lit("G"), F.col("g").cast("string")).alias("gene"),
         "slot",
-        (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10 + F.col("slot")).alias("ord"),
+        "ord",
         F.array(name(F.col("l_suppkey") % 7), name(F.col("l_suppkey") % 3 + 7)).alias("alleles"),
         F.col("l_quantity").alias("abundance"),
         (F.floor(F.col("l_extendedprice")) % 60).cast("int").alias("quality"),
@@ -80,8 +83,9 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chrom, g_start, g_end: every 97th event with forty bases on both sides."""
-    return positions(spark, sf_dir).where("rec % 97 = 0").select("chrom", (F.col("start") - 40).alias("g_start"), (F.col("start") + 40).alias("g_end"))
+    """chrom, g_start, g_end: every order as a short interval, seven places from the order before."""
+    start = F.col("o_orderkey") * 7 + F.col("o_custkey") % 50
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).cast("int").alias("chrom"), start.alias("g_start"), (start + 3).alias("g_end"))
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,11 +108,11 @@ SQL = {
   CAST(l_suppkey % 50 AS INT) AS s, CAST(l_suppkey % 50 + l_quantity AS INT) AS e FROM lineitem)
 , assignments AS (SELECT read_id, allele, min(qual) AS qual, max(similarity) AS similarity, min(s) AS "start", max(e) AS "end"
   FROM (SELECT * FROM assigned UNION ALL SELECT read_id, allele + 6, qual, similarity, s, e FROM assigned WHERE allele < 3) GROUP BY read_id, allele)""",
-    "calls": """calls AS (SELECT 'S' || lpad(CAST(sample AS VARCHAR), 2, '0') AS sample, 'G' || gene AS gene, slot, l_orderkey * 1000 + l_linenumber * 10 + slot AS ord,
-  ['G' || gene || '*' || (l_suppkey % 7), 'G' || gene || '*' || (l_suppkey % 3 + 7)] AS alleles, l_quantity AS abundance, CAST(floor(l_extendedprice) AS BIGINT) % 60 AS quality
-  FROM (SELECT *, l_orderkey % 12 AS sample, l_partkey % 10 AS gene, row_number() OVER (PARTITION BY l_orderkey % 12, l_partkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS slot FROM lineitem) WHERE slot <= 2)""",
+    "calls": """calls AS (SELECT 'S' || lpad(CAST(l_partkey AS VARCHAR), 12, '0') AS sample, 'G' || g AS gene, (ord - 1) % 2 + 1 AS slot, ord,
+  ['G' || g || '*' || (l_suppkey % 7), 'G' || g || '*' || (l_suppkey % 3 + 7)] AS alleles, l_quantity AS abundance, CAST(floor(l_extendedprice) AS BIGINT) % 60 AS quality
+  FROM (SELECT *, (ord - 1) // 2 AS g FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity) AS ord FROM lineitem)))""",
     "positions": "positions AS (SELECT event_id AS rec, user_id % 5 AS chrom, event_id AS s, event_id + 10 AS e FROM events)",
-    "intervals": "intervals AS (SELECT user_id % 5 AS chrom, event_id - 40 AS g_start, event_id + 40 AS g_end FROM events WHERE event_id % 97 = 0)",
+    "intervals": "intervals AS (SELECT o_custkey % 5 AS chrom, o_orderkey * 7 + o_custkey % 50 AS g_start, o_orderkey * 7 + o_custkey % 50 + 3 AS g_end FROM orders)",
     "coverage": "coverage AS (SELECT user_id % 20 AS seq_idx, event_id % 100 AS pos, count(*) AS depth FROM events GROUP BY ALL)",
     "frequencies": "freq AS (SELECT substring(b, 1, 1) AS locus, substring(b, 2, 1) AS f1, CAST(p_size % 5 AS VARCHAR) AS f2, count(*) AS n FROM (SELECT *, regexp_extract(p_brand, '([0-9]+)', 1) AS b FROM part) GROUP BY ALL)",
 }

@@ -26,9 +26,9 @@ SELECT name, coalesce(chrom, 'chr19') AS chrom, coalesce(s, -1) AS "start", coal
 
 def _raw(spark, sf_dir):
     """Benchmark items as database entries of two exons."""
-    a = adapt.alleles(spark, sf_dir).where("length(seq) >= 60")
-    n = F.length("seq")
-    spans = F.array(F.struct(F.lit(10).alias("s"), F.lit(24).alias("e")), F.struct(F.lit(30).alias("s"), (n - 6 - F.col("seq_idx") % 3).cast("int").alias("e")))
+    a, n = adapt.alleles(spark, sf_dir), F.length("seq")
+    at = lambda share: F.floor(n * share).cast("int")
+    spans = F.array(F.struct(at(0.15).alias("s"), at(0.4).alias("e")), F.struct(at(0.5).alias("s"), (at(0.9) - F.col("seq_idx") % 3).cast("int").alias("e")))
     return a.select(F.col("seq_idx").alias("ord"), "name", spans.alias("exons"), (F.col("seq_idx") % 5 == 4).alias("partial"), F.lower("seq").alias("seq"))
 
 
@@ -45,9 +45,9 @@ def refbuild_dna(spark, sf_dir):
 
 
 def affine_alignment(spark, sf_dir):
-    """Each allele's first bases against a copy with a change and a gap."""
-    a = adapt.alleles(spark, sf_dir).where("length(seq) >= 60").select("seq_idx", F.substring("seq", 1, 60).alias("t"))
-    own = a.withColumn("p", F.concat(F.substring("t", 1, 15), F.lit("A"), F.substring("t", 17, 14), F.substring("t", 34, 27)))
+    """Each allele against a copy with a change and a gap."""
+    a = adapt.alleles(spark, sf_dir).select("seq_idx", F.col("seq").alias("t"))
+    own = a.withColumn("p", F.expr("concat(substring(t, 1, 15), 'A', substring(t, 17, 14), substring(t, 34))"))
 
     @F.pandas_udf("string")
     def ops(t, p):
@@ -59,14 +59,19 @@ def affine_alignment(spark, sf_dir):
 
 
 def _fragments(spark, sf_dir, changed: bool = False):
-    """Ten pairs of mates from each allele that is long enough; optionally with another base at position 60."""
-    a = adapt.alleles(spark, sf_dir).where("length(seq) >= 130")
+    """Fragments of 130 bases, as mates of 60, along the whole of all alleles (ten bases apart) and documents (fifty-five
+    apart); shorter sequences and ends are single reads. Optionally alleles have another base at every hundredth place."""
+    a = adapt.alleles(spark, sf_dir).select((F.col("seq_idx") * 2).alias("source"), "seq")
     if changed:
-        a = a.withColumn("seq", F.concat(F.substring("seq", 1, 60), F.translate(F.substring("seq", 61, 1), "ACGT", "CGTA"), F.substring("seq", 62, 1_000_000)))
-    at = F.col("k") % (F.length("seq") - 129)
-    own = a.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    mate = S.reverse_complement(F.substring(F.col("seq"), at + 71, F.lit(60)))
-    return own.select(F.concat(F.lit("S"), (F.col("seq_idx") % 2).cast("string")).alias("sample"), (F.col("seq_idx") * 10 + F.col("k")).alias("read_id"), F.substring(F.col("seq"), at + 1, F.lit(60)).alias("seq1"), mate.alias("seq2"))
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.length("seq") / 100).cast("int")), lambda i: F.concat(F.substring("seq", i * 100 + 1, F.lit(99)), F.translate(F.substring("seq", i * 100 + 100, F.lit(1)), "ACGT", "CGTA")))
+        a = a.withColumn("seq", F.array_join(parts, ""))
+    own = a.unionByName(adapt.reads(spark, sf_dir).select((F.col("read_id") * 2 + 1).alias("source"), "seq")).where("seq <> ''")
+    step = F.when(F.col("source") % 2 == 0, 10).otherwise(55)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length("seq") - 130) / step).cast("int")))
+    own = own.select("source", "seq", F.explode(starts).alias("k")).withColumn("piece", F.substring(F.col("seq"), F.col("k") * step + 1, F.lit(130)))
+    mate = F.when(F.length("piece") == 130, S.reverse_complement(F.substring("piece", 71, 60)))
+    sample = F.concat(F.lit("S"), (F.col("source") % 4).cast("string"))
+    return own.select(sample.alias("sample"), (F.col("source") * 1_000_000 + F.col("k")).alias("read_id"), F.when(mate.isNotNull(), F.substring("piece", 1, 60)).otherwise(F.col("piece")).alias("seq1"), mate.alias("seq2"))
 
 
 def fragment_placements(spark, sf_dir):
@@ -76,7 +81,7 @@ def fragment_placements(spark, sf_dir):
 
 
 def _run(spark, sf_dir):
-    a = adapt.alleles(spark, sf_dir).where("length(seq) >= 130")
+    a = adapt.alleles(spark, sf_dir)
     panel = a.select("seq_idx", "name", F.array(F.struct(F.lit(0).alias("s"), (F.length("seq") - 1).alias("e"))).alias("exons"), "seq", F.lit(1).alias("weight"))
     return pipeline.Run(_fragments(spark, sf_dir), panel)
 
@@ -200,9 +205,10 @@ SQL["representative_alleles"] = adapt.with_sql("calls", then='SELECT sample, gen
 
 
 def seeded_bases(spark, sf_dir):
-    """Random flanks of the first genes."""
+    """Random flanks of the alleles' genes, in their order."""
     r = maths.Rand48(17)
-    return spark.createDataFrame([(f"G{i}", r.bases(refbuild.UTR), r.bases(refbuild.UTR)) for i in range(8)], "gene string, five string, three string")
+    genes = sorted(x.gene for x in adapt.alleles(spark, sf_dir).select("gene").distinct().collect())
+    return spark.createDataFrame([(g, r.bases(refbuild.UTR), r.bases(refbuild.UTR)) for g in genes], "gene string, five string, three string")
 
 
 def variant_lines(spark, sf_dir):

@@ -217,15 +217,16 @@ LEFT JOIN d x ON x.seq_idx = r.seq_idx AND x.pos = r.pos AND x.base = ref WHERE
 
 
 def _edges(spark, sf_dir):
-    e = adapt.table(spark, sf_dir, "events").where("event_type <> 'view' AND event_id % 3 = 0")
-    return e.select((F.col("event_id") % 997).alias("a"), ((F.col("event_id") * 7 + F.col("user_id")) % 997).alias("b"))
+    """Every event is linked with the next, or (by its value) with itself, so components are runs of events."""
+    link = F.when(F.floor(F.col("value") * 100) % 4 < 3, 1).otherwise(0)
+    return adapt.table(spark, sf_dir, "events").select(F.col("event_id").alias("a"), (F.col("event_id") + link).alias("b"))
 
 
 def variant_components(spark, sf_dir):
     return variants.components(_edges(spark, sf_dir))
 
 
-SQL["variant_components"] = """WITH RECURSIVE edges AS (SELECT event_id % 997 AS a, (event_id * 7 + user_id) % 997 AS b FROM events WHERE event_type <> 'view' AND event_id % 3 = 0)
+SQL["variant_components"] = """WITH RECURSIVE edges AS (SELECT event_id AS a, event_id + CASE WHEN CAST(floor(value * 100) AS BIGINT) % 4 < 3 THEN 1 ELSE 0 END AS b FROM events)
 , linked AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b)
 , reach AS (SELECT a AS node, a AS other FROM linked UNION SELECT r.node, e.b FROM reach r JOIN linked e ON r.other = e.a)
 SELECT node, min(other) AS root FROM reach GROUP BY node"""

@@ -106,18 +106,29 @@ def kmer_containment(spark, sf_dir):
 SQL["kmer_containment"] = _PAIRS_SQL + "SELECT a, b, round(ab / sa.size, 6) AS a_in_b, round(ba / sb.size, 6) AS b_in_a FROM shared JOIN size sa ON sa.seq_idx = a JOIN size sb ON sb.seq_idx = b"
 
 
+def _parts(seq, n: int):
+    """A sequence in parts of n bases, the last one shorter; an empty sequence is one empty part."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(seq) - 1) / n).cast("int"))), lambda i: F.substring(seq, i * n + 1, F.lit(n)))
+
+
+def _parts_sql(seq: str, n: int) -> str:
+    return f"[substring({seq}, CAST(i * {n} + 1 AS BIGINT), {n}) FOR i IN range(0, greatest(0, (length({seq}) - 1) // {n}) + 1)]"
+
+
 def canonical_revcomp(spark, sf_dir):
     seq = F.col("seq")
-    return adapt.alleles(spark, sf_dir).select("seq_idx", S.reverse_complement(seq).alias("rc"), S.canonical(seq).alias("canonical"), S.base_codes(seq).alias("codes"), S.kmer_code(F.substring(seq, 1, 20)).alias("code"))
+    return adapt.alleles(spark, sf_dir).select("seq_idx", S.reverse_complement(seq).alias("rc"), S.canonical(seq).alias("canonical"), S.base_codes(seq).alias("codes"), F.concat_ws(",", F.transform(_parts(seq, 20), lambda x: S.kmer_code(x).cast("string"))).alias("part_codes"))
 
 
 SQL["canonical_revcomp"] = adapt.with_sql("alleles", then=f"""SELECT seq_idx, {RC.format("seq")} AS rc, least(seq, {RC.format("seq")}) AS canonical, translate(regexp_replace(seq, '[^ACGT]', 'T', 'g'), 'ACGT', '0123') AS codes,
-  CASE WHEN seq <> '' THEN list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(x AS BIGINT) FOR x IN string_split(translate(substring(seq, 1, 20), 'ACGT', '0123'), '')]), lambda a, b: a * 4 + b) ELSE 0 END AS code FROM alleles""")
+  array_to_string([CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(x AS BIGINT) FOR x IN string_split(translate(p, 'ACGT', '0123'), '') IF x <> '']), lambda a, b: a * 4 + b) AS VARCHAR) FOR p IN {_parts_sql("seq", 20)}], ',') AS part_codes FROM alleles""")
 
 
 def low_complexity(spark, sf_dir):
+    """Whether a read is low in complexity, and how many of its parts of twelve bases are."""
     seq = F.col("seq")
-    return adapt.reads(spark, sf_dir).select("read_id", S.low_complexity(seq).alias("low"), S.low_complexity(F.substring(seq, 1, 12)).alias("low_start"))
+    low_parts = F.size(F.filter(_parts(seq, 12), S.low_complexity)).cast("long")
+    return adapt.reads(spark, sf_dir).select("read_id", S.low_complexity(seq).alias("low"), low_parts.alias("low_parts"))
 
 
 def _low(seq: str) -> str:
@@ -125,11 +136,13 @@ def _low(seq: str) -> str:
     return f"({' OR '.join(f'{x} >= length({seq}) // 2' for x in c[:4])} OR {c[4]} >= length({seq}) // 10 OR {' + '.join(f'CAST({x} <= 2 AS INT)' for x in c[:4])} >= 2)"
 
 
-SQL["low_complexity"] = adapt.with_sql("reads", then=f"SELECT read_id, {_low('seq')} AS low, {_low('substring(seq, 1, 12)')} AS low_start FROM reads")
+SQL["low_complexity"] = adapt.with_sql("reads", then=f"SELECT read_id, {_low('seq')} AS low, len([p FOR p IN {_parts_sql('seq', 12)} IF {_low('p')}]) AS low_parts FROM reads")
 
 
 def overlap_low_complexity(spark, sf_dir):
-    return adapt.reads(spark, sf_dir).select("read_id", S.low_complexity_span(F.substring("seq", 1, 15)).alias("low"), S.low_complexity_span(F.substring("seq", 3, 60)).alias("low_long"))
+    """The same by the rule for overlaps, in parts of fifteen and sixty bases."""
+    low = lambda n: F.size(F.filter(_parts(F.col("seq"), n), S.low_complexity_span)).cast("long")
+    return adapt.reads(spark, sf_dir).select("read_id", low(15).alias("low"), low(60).alias("low_long"))
 
 
 def _low_span(seq: str) -> str:
@@ -137,7 +150,7 @@ def _low_span(seq: str) -> str:
     return f"(7 * ({' + '.join(f'CASE WHEN {x} <= 2 THEN {x} ELSE 0 END' for x in c)}) < length({seq}) AND {' + '.join(f'CAST({x} <= 2 AS INT)' for x in c)} >= 2)"
 
 
-SQL["overlap_low_complexity"] = adapt.with_sql("reads", then=f"SELECT read_id, {_low_span('substring(seq, 1, 15)')} AS low, {_low_span('substring(seq, 3, 60)')} AS low_long FROM reads")
+SQL["overlap_low_complexity"] = adapt.with_sql("reads", then=f"SELECT read_id, len([p FOR p IN {_parts_sql('seq', 15)} IF {_low_span('p')}]) AS low, len([p FOR p IN {_parts_sql('seq', 60)} IF {_low_span('p')}]) AS low_long FROM reads")
 
 
 def _with_n(seq):
