@@ -70,10 +70,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read by the next."""
-    docs = common.table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = common.stored(docs, f"stage{i + 1}")
-    return docs
+    """All stages over documents; what each returns is written to the shared folder and read by the next. Other tables that
+    a stage stored, and its predecessor's result, are deleted once it is done."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with common.temporary() as keep:
+            docs = keep(common.stored(stage(spark, docs, sf_dir), f"stage{i + 1}"))
+        if before is not None:
+            common.dropped(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
