@@ -121,7 +121,7 @@ class Normalizer:
 class Memo:
     """Results by input in two generations of at most `size` each: what was used since the last change outlives the next."""
 
-    def __init__(self, size: int = 100_000):
+    def __init__(self, size: int = 200_000):
         self.size, self.new, self.old = size, {}, {}
 
     def missing(self, inputs: set[str]) -> list[str]:
@@ -209,15 +209,10 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def order(self, before: int, after: int) -> float:
-        """Weight of one piece after another (-1: the start) in a BPE model; fallback characters are numbered from the last piece on."""
+        """Weight of one output after another (-1: the start) in a BPE model; a fallback character is numbered from the last piece on."""
         n = len(self.name)
         parts = [self.name[x] if x < n else chr(x - n) for x in (before, after) if x >= 0]
-        w = 0.0 if self.merged("".join(parts)) == parts else math.inf
-        if before < n and after < n:
-            if len(self.orders) > 500_000:
-                self.orders.clear()
-            self.orders[(before + 1) * n + after] = w
-        return w
+        return 0.0 if self.merged("".join(parts)) == parts else math.inf
 
     def compose(self, text: str):
         """Arcs (last character, (output, size)) of the input's composition with pieces and fallback, by where they end."""
@@ -226,29 +221,35 @@ class Transducer:
         return sorted(chain(arcs, bare), key=lambda x: x[0]) if bare else arcs
 
     def path(self, text: str) -> list[int]:
-        """Outputs of the composition's shortest path. A state is a position with the output that led there.
+        """Outputs of the composition's shortest path. A state is a character with the output that ends there.
 
-        In a unigram model the states of a position differ in nothing that follows, so the cheapest stands for all. In a
+        In a unigram model the states of a character differ in nothing that follows, so the cheapest stands for all. In a
         BPE model a single one has a finite weight.
         """
-        n, inf, least, pieces, fallback = len(text), math.inf, self.least, len(self.name), self.fallback
-        weight, known, order = self.weight.get, self.orders.get, self.order if self.bpe else None
-        cost, last, size = [0.0] + [inf] * n, [-1] * (n + 1), [0] * (n + 1)
+        n, inf, bpe, rising = len(text), math.inf, self.bpe, self.least >= 0
+        weight, fallback, orders, outputs = self.weight.get, self.fallback, self.orders, len(self.name) + 0x110000
+        known = orders.get
+        # by the last character; the state before the first one comes last, which is index -1
+        cost, last, size = [inf] * n + [0.0], [-1] * (n + 1), [0] * n
         for end, (out, length) in self.compose(text):
-            c = cost[end + 1 - length]
-            if c + least >= cost[end + 1]:
+            begin = end - length
+            c = cost[begin]
+            if c >= cost[end] and rising:  # no weight is below 0
                 continue
-            if order:
-                before = last[end + 1 - length]
-                w = known((before + 1) * pieces + out) if before < pieces > out else None
-                c += order(before, out) if w is None else w
+            if bpe:
+                key = last[begin] * outputs + out
+                w = known(key)
+                if w is None:
+                    if len(orders) > 500_000:
+                        orders.clear()
+                    w = orders[key] = self.order(last[begin], out)
+                c += w
             else:
                 c += weight(out, fallback)
-            end += 1
             if c < cost[end]:
                 cost[end], last[end], size[end] = c, out, length
-        found, k = [], n
-        while k:
+        found, k = [], n - 1
+        while k >= 0:
             found.append(last[k])
             k -= size[k]
         return found[::-1]
