@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from .operators.common import ship
-from .plans import build_queries, call_queries, sequence_queries
+from .plans import build_queries, call_queries, sequence_queries, source_queries
 
-_MODULES = (sequence_queries, call_queries, build_queries)
+_MODULES = (sequence_queries, call_queries, build_queries, source_queries)
 
 
 def _shipped(query):

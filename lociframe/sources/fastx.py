@@ -50,29 +50,46 @@ def short_name(name: str) -> str:
     return name[:-2] if name.endswith(("/1", "/2")) else name
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line): lines with their 0-based number in the file, counted per split and added up over the splits."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
+def numbered(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """(file, n, line): lines with their 0-based number, counted per split and added up over splits and files by name.
+
+    `sep` ends a line instead of a newline.
+    """
+    reader = spark.read.option("lineSep", sep) if sep else spark.read
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
     sizes = lines.groupBy("file", "block").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    w = Window.partitionBy("file").orderBy("block")
+    # one row a split, so one task can number them
+    w = Window.orderBy("file", "block")
     before = sizes.select("file", "block", "first", (F.sum("size").over(w) - F.col("size")).alias("before"))
     # a split is read by one task, so ids within it are consecutive
     return lines.join(common.small(before), ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("n"), "line")
 
 
+def four_lines(lines: DataFrame) -> bool:
+    """Whether numbered lines are FASTQ records of four lines: each fourth line starts with @ and each second after it with +."""
+    at = F.col("n") % 4
+    bad = ((at == 0) & ~F.col("line").startswith("@")) | ((at == 2) & ~F.col("line").startswith("+"))
+    seen = lines.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad")).first()
+    return seen.bad == 0 and seen.n % 4 == 0
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, name, seq, qual) of four-line FASTQ, plain or compressed, split by lines; read_id is the record's number.
+    """(read_id, name, seq, qual) of FASTQ, plain or compressed; read_id is the record's number.
 
-    A quality of another length than the sequence is an error. For records over more lines see read_any().
+    Records of four lines are split by lines, over all files of a folder; files with blank lines or records over more
+    lines go to read_any(). A quality of another length than the sequence is an error.
     """
-    rows = numbered(spark, path).groupBy("file", F.floor(F.col("n") / 4).alias("read_id")).agg(*(F.max(F.when(F.col("n") % 4 == k, F.col("line"))).alias(f"l{k}") for k in (0, 1, 3)))
-    bad = ~F.col("l0").startswith("@") | (F.length("l1") != F.length(F.coalesce("l3", F.lit(""))))
-    seq = F.when(bad, F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.coalesce("l0", F.lit("")))).cast("string")).otherwise(F.col("l1"))
+    lines = numbered(spark, path)
+    if not four_lines(lines):
+        return read_any(spark, path).select("read_id", "name", "seq", "qual")
+    rows = lines.groupBy(F.floor(F.col("n") / 4).alias("read_id")).agg(*(F.max(F.when(F.col("n") % 4 == k, F.col("line"))).alias(f"l{k}") for k in (0, 1, 3)))
+    bad = F.length("l1") != F.length("l3")
+    seq = F.when(bad, F.raise_error(F.concat(F.lit("not a FASTQ record: "), "l0")).cast("string")).otherwise(F.col("l1"))
     return rows.select("read_id", S.without_mate(F.regexp_extract("l0", r"^@(\S*)", 1)).alias("name"), seq.alias("seq"), F.col("l3").alias("qual"))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, name, comment, seq, qual) of FASTA or FASTQ with records over any number of lines; a file is one task."""
+    """(read_id, name, comment, seq, qual) of FASTA or FASTQ with records over any number of lines; a file is one task, and read_id counts within it."""
     common.ship(spark)
 
     def run(batches):
@@ -96,7 +113,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(ord, name, comment, seq): records are split at line starts with `>`, so a file is read in parallel."""
-    rows = spark.read.option("lineSep", "\n>").text(path).select(F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", "^>", "").alias("r"))
+    rows = numbered(spark, path, "\n>").select(F.col("n").alias("ord"), F.regexp_replace("line", "^>", "").alias("r"))
     rows = rows.where("trim(r) <> ''")
     head = F.regexp_extract("r", r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("r", r"^[^\r\n]*", ""), r"[\r\n]", "")

@@ -102,7 +102,7 @@ def read_database(spark: SparkSession, path: str) -> DataFrame:
                 ["ord", "name", "exons", "partial", "seq"],
             )
 
-    rows = spark.read.option("lineSep", "\n//").text(path).select(F.monotonically_increasing_id().alias("ord"), "value")
+    rows = numbered(spark, path, "\n//").select(F.col("n").alias("ord"), F.col("line").alias("value"))
     return rows.mapInArrow(run, "ord long, name string, exons array<struct<s:int,e:int>>, partial boolean, seq string")
 
 

@@ -555,7 +555,7 @@ def test_stored_tables_are_shared(spark):
     common.dropped(df)
 
 
-@pytest.mark.parametrize("name", ["kmer_count", "equivalence_classes", "em_fixed_rounds", "combine_matrix", "copynumber_rows", "variant_components", "cigar_segments", "interval_semi_join", "freq_prefix_match", "genotype_quality"])
+@pytest.mark.parametrize("name", ["kmer_count", "equivalence_classes", "em_fixed_rounds", "combine_matrix", "copynumber_rows", "variant_components", "cigar_segments", "interval_semi_join", "freq_prefix_match", "genotype_quality", "fastq_wrapped_scan", "interleaved_file", "panel_scan_listed", "sam_scan", "database_scan", "gtf_scan", "copy_file_scan", "frequency_scan", "exact_overlaps", "exact_fragments"])
 def test_queries_agree_with_duckdb(spark, name):
     import glob
     import os
