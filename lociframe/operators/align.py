@@ -110,25 +110,35 @@ def column_matches(counts: tuple[int, int, int, int], base: str) -> bool:
     return total == 0 or base == "N" or total < 3 * counts["ACGT".index(base)]
 
 
-def align_to_columns(columns: list[tuple[int, int, int, int]], read: str, gap: int = -4) -> tuple[int, ...]:
-    """Edit operations against pileup columns with a linear gap cost."""
+def align_to_columns(columns: list[tuple[int, int, int, int]], read: str, gap: int = -4, band: int = BAND) -> tuple[int, ...]:
+    """Edit operations against pileup columns with a linear gap cost, within a band as in align(); none if either is empty.
+
+    Equal lengths with up to two mismatches stay on the diagonal. A border costs an opening besides its gaps, so the gap
+    base next to the corner can't be told from a match and is written as one. The way back prefers the diagonal, then an
+    insertion, then a deletion.
+    """
     n, m = len(columns), len(read)
-    score = [[gap * (i + j) if not (i and j) else 0 for j in range(n + 1)] for i in range(m + 1)]
-    cost = lambda i, j: MATCH if column_matches(columns[j - 1], read[i - 1]) else MISMATCH
+    if not n or not m:
+        return ()
+    fits = lambda i, j: column_matches(columns[j - 1], read[i - 1])
+    if n == m:
+        flat = tuple(EQ if fits(i, i) else SUB for i in range(1, n + 1))
+        if n == 1 or flat.count(SUB) <= 2:
+            return flat
+    left, right = band + max(0, m - n), band + max(0, n - m)
+    score = {(0, 0): 0} | {(i, 0): gap * (i + 1) for i in range(1, m + 1)} | {(0, j): gap * (j + 1) for j in range(1, n + 1)}
+    low = (n + 1) * (m + 1) * gap
+    steps = lambda i, j: ((score.get((i - 1, j - 1), low) + (MATCH if fits(i, j) else MISMATCH), EQ if fits(i, j) else SUB), (score.get((i - 1, j), low) + gap, INS), (score.get((i, j - 1), low) + gap, DEL))
+    taken = {}
     for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            score[i][j] = max(score[i - 1][j - 1] + cost(i, j), score[i - 1][j] + gap, score[i][j - 1] + gap)
+        for j in range(max(1, i - left), min(n, i + right) + 1):
+            score[i, j], taken[i, j] = max(steps(i, j), key=lambda x: x[0])  # the first of equals
     out, i, j = [], m, n
-    while i or j:
-        if i and j and score[i][j] == score[i - 1][j - 1] + cost(i, j):
-            out.append(EQ if cost(i, j) == MATCH else SUB)
-            i, j = i - 1, j - 1
-        elif j and score[i][j] == score[i][j - 1] + gap:
-            out.append(DEL)
-            j -= 1
-        else:
-            out.append(INS)
-            i -= 1
+    while i and j:
+        step = taken[i, j]
+        out.append(step)
+        i, j = i - (step != DEL), j - (step != INS)
+    out += [INS if i else DEL] * (i + j - 1) + [EQ] * (i + j > 0)
     return tuple(out[::-1])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from .common import small
+from .common import small, stored
 
 #: postings above which a k-mer counts as a repeat
 REPEAT = 100
@@ -61,15 +61,34 @@ def similarity(profile: DataFrame, key: str = "seq_idx") -> DataFrame:
     )
 
 
-def hits(reads: DataFrame, posted: DataFrame, k: int) -> DataFrame:
+def hits(reads: DataFrame, posted: DataFrame, k: int, repeats: int | None = None) -> DataFrame:
     """(read_id, strand, seq_idx, read_offset, offset) of reads' k-mers on both strands; the index is broadcast if small.
 
     The other strand's k-mers are looked up as reverse complements in the index, so a read's windows are listed once.
+    With `repeats`, k-mers of as many postings are passed over before they meet these, unless at a read's ends, but at
+    most k // 2 in a row.
     """
     own = reads.select("read_id", F.length("seq").alias("n"), F.posexplode(S.kmers(F.col("seq"), k)).alias("at", "kmer"))
-    both = posted.select("kmer", F.lit(1).alias("strand"), "seq_idx", "offset").unionByName(posted.select(S.reverse_complement(F.col("kmer")).alias("kmer"), F.lit(-1).alias("strand"), "seq_idx", "offset"))
-    at = F.when(F.col("strand") == 1, F.col("at")).otherwise(F.col("n") - k - F.col("at"))
-    return own.join(small(both), "kmer").select("read_id", "strand", "seq_idx", at.alias("read_offset"), "offset")
+    on_strand = F.when(F.col("strand") == 1, F.col("at")).otherwise(F.col("n") - k - F.col("at"))
+
+    def stranded(index: DataFrame, *columns: str) -> DataFrame:
+        return index.select("kmer", F.lit(1).alias("strand"), *columns).unionByName(index.select(S.reverse_complement(F.col("kmer")).alias("kmer"), F.lit(-1).alias("strand"), *columns))
+
+    def found(windows: DataFrame, index: DataFrame) -> DataFrame:
+        return windows.join(small(stranded(index, "seq_idx", "offset")), "kmer").select("read_id", "strand", "seq_idx", on_strand.alias("read_offset"), "offset")
+
+    if repeats is None:
+        return found(own, posted)
+    marked = stored(with_repeats(posted), "postings")
+    frequent = marked.where(F.col("repeats") >= repeats)
+    met = own.join(small(stranded(frequent.select("kmer").distinct())), "kmer").select("read_id", "n", "kmer", "strand", on_strand.alias("o"))
+    ends = (F.col("o") == 0) | (F.col("o") == F.col("n") - k)
+    place = Window.partitionBy("read_id", "strand").orderBy("o")
+    runs = met.where(~ends).withColumn("run", F.col("o") - F.row_number().over(place))
+    turn = (F.row_number().over(Window.partitionBy("read_id", "strand", "run").orderBy("o")) - 1) % (k // 2 + 1)
+    kept = met.where(ends).unionByName(runs.withColumn("turn", turn).where(F.col("turn") == k // 2).drop("run", "turn"))
+    again = kept.join(small(stranded(frequent, "seq_idx", "offset")), ["kmer", "strand"]).select("read_id", "strand", "seq_idx", F.col("o").alias("read_offset"), "offset")
+    return found(own, marked.where(F.col("repeats") < repeats)).unionByName(again)
 
 
 def gate(found: DataFrame, k: int, hit_length: int) -> DataFrame:

@@ -362,6 +362,20 @@ def representative_sequence(spark, sf_dir):
 SQL["representative_sequence"] = adapt.with_sql("alleles", then="SELECT gene, seq_idx FROM (SELECT gene, seq_idx, row_number() OVER (PARTITION BY gene ORDER BY seq, seq_idx) AS rn FROM alleles) WHERE rn = 1")
 
 
+def kmer_hits_repeats(spark, sf_dir):
+    """Hits of alleles as reads per strand and allele, where k-mers of three postings or more are passed over, five in a row at most."""
+    own = adapt.alleles(spark, sf_dir)
+    found = kmer.hits(own.select(F.col("seq_idx").alias("read_id"), "seq"), kmer.postings(own, K), K, repeats=3)
+    return found.groupBy("read_id", "strand", "seq_idx").agg(F.count("*").alias("hits"))
+
+
+SQL["kmer_hits_repeats"] = _hits_sql(K).replace(adapt.SQL["reads"], "reads AS (SELECT seq_idx AS read_id, seq FROM alleles)") + f""", frequent AS (SELECT kmer FROM posted GROUP BY kmer HAVING count(*) >= 3)
+, met AS (SELECT rw.read_id, rw.strand, rw."offset" AS o FROM rw JOIN frequent USING (kmer) JOIN reads ON reads.read_id = rw.read_id WHERE rw."offset" > 0 AND rw."offset" < length(reads.seq) - {K})
+, runs AS (SELECT *, o - row_number() OVER (PARTITION BY read_id, strand ORDER BY o) AS run FROM met)
+, passed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_id, strand, run ORDER BY o) - 1 AS i FROM runs) WHERE i % 6 <> 5)
+SELECT read_id, strand, seq_idx, count(*) AS hits FROM hits WHERE NOT EXISTS (SELECT 1 FROM passed p WHERE p.read_id = hits.read_id AND p.strand = hits.strand AND p.o = hits.read_offset) GROUP BY ALL"""
+
+
 def read_overlaps(spark, sf_dir):
     """Scored overlaps of every read (chaining and alignment kernels)."""
     from ..operators import mapping
@@ -372,6 +386,6 @@ def read_overlaps(spark, sf_dir):
 OWN = (
     kmer_candidates, bucket_gate, kmer_count, kmer_index_postings, repeat_kmer_filter, kmer_jaccard, kmer_containment, canonical_revcomp, low_complexity, overlap_low_complexity,
     effective_length, separators, length_mode_fix, string_mode, allele_name_parse, null_expression, mate_suffix_trim, alt_contig, dedup_sequences, diagonal_runs, covered_length, interval_semi_join,
-    cigar_segments, flag_predicates, library_stats, two_pass_name_join, qname_groups, exonic_position, representative_sequence, read_overlaps,
+    cigar_segments, flag_predicates, library_stats, two_pass_name_join, qname_groups, exonic_position, representative_sequence, kmer_hits_repeats, read_overlaps,
 )
 QUERIES = {f.__name__: f for f in OWN}

@@ -144,6 +144,44 @@ def test_alignment_cases(allele, read, band, want):
     assert got == want
 
 
+def columns_of(seq, **other):
+    own = [tuple(10 * (c == b) for b in "ACGT") for c in seq]
+    for at, counts in other.items():
+        own[int(at[1:])] = counts
+    return own
+
+
+@pytest.mark.parametrize(
+    "columns, read, want",
+    # fixed values: a column is matched by any base with over a third of it, and by all if empty
+    [
+        (columns_of("ACGTACGTACGTACGT"), "ACGTACGTACGTACGT", "=" * 16),
+        (columns_of("ACGTACGTACGTACGT"), "ACGTAAGTACGTACGT", "=====X=========="),
+        (columns_of("ACGTACGTACGTACGTACGT"), "ACGTACGTAACGTACGTACGT", "========I============"),
+        (columns_of("ACGTACGT", _2=(0, 0, 5, 5)), "ACTTACGT", "=" * 8),
+        (columns_of("ACGTACGT", _4=(0, 0, 0, 0)), "ACGTTCGT", "=" * 8),
+        (columns_of("ACG"), "N" * 50, "=" + "I" * 47 + "=="),
+        ([(0, 0, 0, 10), (0,) * 4, (0,) * 4, (0, 0, 0, 10), (0, 0, 10, 0), (5, 5, 0, 0), (0,) * 4, (0, 0, 0, 10), (0, 10, 0, 0), (0, 0, 5, 5), (5, 5, 0, 0), (0,) * 4, (0, 0, 5, 5), (0, 10, 0, 0)], "CGC", "=" + "D" * 10 + "==="),
+    ],
+)
+def test_alignment_to_columns(columns, read, want):
+    assert "".join("=XID"[o] for o in align.align_to_columns(columns, read)) == want
+
+
+def test_repeats_are_passed_over_as_in_the_kernel(spark, monkeypatch):
+    rng = random.Random(5)
+    unit = "".join(rng.choice("ACGT") for _ in range(40))
+    panel = ["".join(rng.choice("ACGT") for _ in range(60)) + unit + "".join(rng.choice("ACGT") for _ in range(60)) for _ in range(6)]
+    reads = [panel[0], panel[3][30:120], align.revcomp(panel[5])[20:130], unit]
+    monkeypatch.setattr(align, "REPEAT", 6)
+    index = align.Index(panel, 9)
+    want = sorted((i, strand, seq, a, b) for i, r in enumerate(reads) for (strand, seq), pairs in index.hits(r).items() for a, b in pairs)
+    alleles = spark.createDataFrame(list(enumerate(panel)), "seq_idx long, seq string")
+    found = kmer.hits(spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string"), kmer.postings(alleles, 9), 9, repeats=6)
+    got = sorted((r.read_id, r.strand, r.seq_idx, r.read_offset, r.offset) for r in found.collect())
+    assert got == want
+
+
 def test_increasing_run():
     r = random.Random(2)
     for _ in range(200):
