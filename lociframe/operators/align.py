@@ -11,13 +11,15 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
-
+import numpy as np
 
 MATCH, MISMATCH, OPEN, EXTEND = 2, -2, -4, -1
 #: edit operations: an insertion is a read base that the allele lacks
 EQ, SUB, INS, DEL = 0, 1, 2, 3
 BAND, RADIUS, MIN_HITS, REPEAT = 5, 10, 3, 100
 _SWAP = str.maketrans("ACGT", "TGCA")
+_CODES = np.full(256, 4, np.uint8)
+_CODES[list(b"ACGT")] = range(4)
 
 
 def revcomp(seq: str) -> str:
@@ -164,21 +166,36 @@ class Overlap:
 
 
 class Index:
-    """K-mer postings of the reference panel, for the workers."""
+    """K-mer postings of the reference panel, for the workers: sorted arrays, 24 bytes a base at most."""
 
     def __init__(self, seqs: list[str], k: int):
+        if not 0 < k < 32:
+            raise ValueError("k is 1 to 31")
         self.seqs, self.k = seqs, k
-        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for i, s in enumerate(seqs):
-            before = None
-            for o in range(len(s) - k + 1):
-                w = s[o : o + k]
-                if set(w) <= set("ACGT"):
-                    keep = w != "A" * k if o == 0 else o == 1 or w != before
-                    if keep:
-                        self.postings[w].append((i, o))
-                before = w
-        self.postings = dict(self.postings)
+        # one letter between two sequences keeps windows within one
+        words, valid = encoded("N".join(seqs), k)
+        first = np.cumsum([0, *(len(s) + 1 for s in seqs)])[:-1]
+        alike = np.zeros(len(words), bool)
+        alike[1:] = valid[1:] & valid[:-1] & (words[1:] == words[:-1])
+        at = first[first < len(words)]
+        second = at[at + 1 < len(words)] + 1
+        alike[second] = False  # the second window always counts, a first one of A alone never
+        alike[at] = words[at] == 0
+        where = np.flatnonzero(valid & ~alike)
+        where = where[np.argsort(words[where], kind="stable")]
+        self._words, self._starts = np.unique(words[where], return_index=True)
+        self._ends = np.append(self._starts[1:], len(where))
+        own = np.searchsorted(first, where, side="right") - 1
+        self._seq, self._at = own.astype(np.int32), (where - first[own]).astype(np.int32) if len(where) else where.astype(np.int32)
+
+    def found(self, seq: str) -> list[tuple[int, int]]:
+        """The stretch of postings of every window of seq, empty for windows that the panel lacks."""
+        words, valid = encoded(seq, self.k)
+        if not len(self._words):
+            return [(0, 0)] * len(words)
+        i = np.minimum(np.searchsorted(self._words, words), len(self._words) - 1)
+        met = valid & (self._words[i] == words)
+        return list(zip(np.where(met, self._starts[i], 0).tolist(), np.where(met, self._ends[i], 0).tolist(), strict=True))
 
     def hits(self, read: str) -> dict[tuple[int, int], list[tuple[int, int]]]:
         """(strand, allele) -> [(read offset, allele offset)], strand -1 in the reverse complement's coordinates.
@@ -190,20 +207,41 @@ class Index:
         k, last = self.k, len(read) - self.k
         for strand, seq in ((1, read), (-1, revcomp(read))):
             before, skipped = "A" * k, 0
-            for o in range(last + 1):
+            for o, (start, end) in enumerate(self.found(seq)):
                 w = seq[o : o + k]
                 if o and w == before:
                     continue
-                found = self.postings.get(w, ())
-                if len(found) >= REPEAT and 0 < o < last and skipped < k // 2:
+                if end - start >= REPEAT and 0 < o < last and skipped < k // 2:
                     skipped += 1
                     continue
                 skipped, before = 0, w
-                for i, at in found:
-                    out[strand, i].append((o, at))
+                if end > start:
+                    for i, at in zip(self._seq[start:end].tolist(), self._at[start:end].tolist(), strict=True):
+                        out[strand, i].append((o, at))
         return out
 
 
+def encoded(seq: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every window of k letters as a number of two bits a letter, and whether it has letters of ACGT only."""
+    codes = _CODES[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+    n = max(0, len(codes) - k + 1)
+    words, bad = np.zeros(n, np.int64), np.concatenate([[0], np.cumsum(codes > 3)])
+    for j in range(k):
+        words <<= 2
+        words |= codes[j : j + n] & 3
+    return words, bad[k : k + n] == bad[:n]
+
+
+_last: list[Index] = []
+
+
+def index_of(seqs: list[str], k: int) -> Index:
+    """The index of these very sequences (a broadcast's value), built once per worker process rather than once a task."""
+    if not _last or _last[0].seqs is not seqs or _last[0].k != k:
+        _last[:] = [Index(seqs, k)]
+    return _last[0]
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest run of pairs (sorted by allele, then read offset) with growing read offsets; of equal allele offsets the first stays."""
     tails: list[int] = []

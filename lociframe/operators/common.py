@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: rows of a reference table that may be sent to every worker
 BROADCAST_ROWS = 2_000_000
+#: bases of a panel that the kernels may hold in every worker process, three times those of the genomic one
+PANEL_BASES = 1 << 28
 #: keys that `matched` treats as hot, at most
 HOT_KEYS = 10_000
 
@@ -51,6 +53,26 @@ def matched(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, how: st
     return rows.join(F.broadcast(large), keys).unionByName(rest.join(groups.where(F.col(n) <= least).drop(n), keys, how))
 
 
+def collected(df: DataFrame, rows: int = BROADCAST_ROWS):
+    """df as a pandas table on the driver; more than `rows` rows are refused before any but the first `rows` + 1 are read."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"a reference table of more than {rows} rows can't be sent to the workers")
+    return df.toPandas()
+
+
+def shared_panel(alleles: DataFrame, most: int = PANEL_BASES):
+    """A broadcast of (ids, sequences) of alleles (seq_idx, seq) in order, counted before any row reaches the driver.
+
+    A panel of more than `most` bases or rows is refused: which strand and which alleles a read keeps depends on all of
+    them at once, so a panel can't be split, and reads are not dropped instead.
+    """
+    size = alleles.agg(F.count("*").alias("n"), F.sum(F.length("seq").cast("long")).alias("bases")).first()
+    if size.n + (size.bases or 0) > most:
+        raise ValueError(f"a panel of {size.n} sequences and {size.bases} bases is above the {most} that a worker may hold; genotype groups of genes apart")
+    rows = alleles.orderBy("seq_idx").select("seq_idx", "seq").collect()
+    return alleles.sparkSession.sparkContext.broadcast(([r.seq_idx for r in rows], [r.seq for r in rows]))
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan's rows over all cores where it has fewer splits than these; a scan of many files stays as it is."""
     n = 2 * scan.sparkSession.sparkContext.defaultParallelism

@@ -59,11 +59,11 @@ def candidates(reads: DataFrame, alleles: DataFrame, similarity: float = 0.8, k:
     if hit_length is None:
         mean = reads.orderBy("read_id").limit(head).agg(F.avg(F.length("seq1"))).first()[0] or 0
         hit_length = maths.hit_length(mean, paired)
-    panel = alleles.orderBy("seq_idx").select("seq").toPandas()["seq"].tolist()
+    panel = common.shared_panel(alleles)
     if k is None:
-        k = max(9, maths.infer_kmer_length(sum(map(len, panel))))
+        k = max(9, maths.infer_kmer_length(sum(map(len, panel.value[1]))))
     hit_length = max(hit_length, k)
-    found = hits_panel(reads.sparkSession, panel, k, hit_length, similarity)
+    found = hits_panel(panel, k, hit_length, similarity)
     return reads.where(either_mate(found, paired))
 
 
@@ -75,19 +75,16 @@ def either_mate(found, paired: bool) -> Column:
     return one | (F.col("seq2").isNotNull() & (~S.low_complexity(F.col("seq2"))) & found(F.col("seq2")))
 
 
-def hits_panel(spark, panel: list[str], k: int, hit_length: int, similarity: float):
-    """A column function: whether a read hits any allele of the panel, which is sent to the workers once."""
-    shared = spark.sparkContext.broadcast(panel)
-    state: dict = {}
+def hits_panel(shared, k: int, hit_length: int, similarity: float):
+    """A column function: whether a read hits any allele of a shared panel."""
 
     @F.pandas_udf("boolean")
     def found(seqs):
         import pandas as pd
 
-        if "index" not in state:
-            state["index"] = align.Index(shared.value, k)
+        index = align.index_of(shared.value[1], k)
         memo: dict[str, bool] = {}
-        return pd.Series([memo[s] if s in memo else memo.setdefault(s, align.is_candidate(state["index"], s, hit_length, similarity)) if s else False for s in seqs], dtype="bool")
+        return pd.Series([memo[s] if s in memo else memo.setdefault(s, align.is_candidate(index, s, hit_length, similarity)) if s else False for s in seqs], dtype="bool")
 
     return found
 
@@ -131,8 +128,7 @@ def from_alignments(records: DataFrame, genes: DataFrame, alleles: DataFrame, si
     lets mates of templates that are not aligned through, `alt` tells records on alternative contigs.
     """
     common.ship(records.sparkSession)
-    panel = alleles.orderBy("seq_idx").select("seq").toPandas()["seq"].tolist()
-    found = hits_panel(records.sparkSession, panel, k, max(hit_length, k), similarity)
+    found = hits_panel(common.shared_panel(alleles), k, max(hit_length, k), similarity)
     prim = records.where(S.is_primary(F.col("flags")))
     near = on_target(prim, genes).select("qname")
     loose = ~S.is_aligned(F.col("flags")) if alt is None else (~S.is_aligned(F.col("flags")) | alt)
@@ -156,8 +152,7 @@ def with_mates(records: DataFrame, names: DataFrame) -> DataFrame:
 def without_alignments(records: DataFrame, alleles: DataFrame, similarity: float = 0.8, hit_length: int = 21, k: int = 9) -> DataFrame:
     """Fragments of which a primary read hits an allele, whatever the alignment; lone reads of pairs are left out, lone single ones stay."""
     common.ship(records.sparkSession)
-    panel = alleles.orderBy("seq_idx").select("seq").toPandas()["seq"].tolist()
-    found = hits_panel(records.sparkSession, panel, k, max(hit_length, k), similarity)
+    found = hits_panel(common.shared_panel(alleles), k, max(hit_length, k), similarity)
     prim = records.where(S.is_primary(F.col("flags")))
     names = prim.where(~S.low_complexity(F.col("seq"))).where(found(F.col("seq"))).select(S.without_mate(F.col("qname")).alias("qname")).distinct()
     out = with_mates(prim, names)

@@ -555,7 +555,7 @@ def genotype(read_hits: DataFrame, alleles: DataFrame, options: Options = Option
     from pyspark.sql import functions as F
 
     common.ship(read_hits.sparkSession)
-    panel = alleles.orderBy("seq_idx").toPandas()
+    panel = common.collected(alleles.select("seq_idx", "name", "gene", "major", "length", "weight", "missing", "consensus", "null", "exonic").orderBy("seq_idx"))
     shared = read_hits.sparkSession.sparkContext.broadcast((panel, similarity or {}))
     schema = {"calls": CALLS, "chosen": CHOSEN, "metrics": METRICS}[output]
     groups = read_groups(read_hits)

@@ -17,14 +17,13 @@ def map_reads(reads: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11
     Each distinct sequence is aligned once; reads meet its overlaps in a join. The panel is sent to the workers.
     """
     common.ship(reads.sparkSession)
-    rows = alleles.orderBy("seq_idx").select("seq_idx", "seq").collect()
-    shared = reads.sparkSession.sparkContext.broadcast(([r.seq_idx for r in rows], [r.seq for r in rows]))
+    shared = common.shared_panel(alleles)
 
     def run(batches):
         import pyarrow as pa
 
         ids, seqs = shared.value
-        index = align.Index(seqs, k)
+        index = align.index_of(seqs, k)
         names = ["key", "seq_idx", "strand", "read_start", "read_end", "start", "end", "match", "similarity", "clip"]
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
         for batch in batches:
@@ -50,8 +49,7 @@ def fragment_assignments(fragments: DataFrame, alleles: DataFrame, hit_length: i
     a place that touches a separator, has none.
     """
     common.ship(fragments.sparkSession)
-    rows = alleles.orderBy("seq_idx").select("seq_idx", "seq").collect()
-    shared = fragments.sparkSession.sparkContext.broadcast(([r.seq_idx for r in rows], [r.seq for r in rows]))
+    shared = common.shared_panel(alleles)
     band = max((1 - similarity) / 4, 0.01)
 
     def run(batches):
@@ -59,7 +57,7 @@ def fragment_assignments(fragments: DataFrame, alleles: DataFrame, hit_length: i
         import pyarrow as pa
 
         ids, seqs = shared.value
-        index = align.Index(seqs, k)
+        index = align.index_of(seqs, k)
         memo: dict = {}
 
         def mapped(seq):
@@ -96,14 +94,13 @@ def fragment_assignments(fragments: DataFrame, alleles: DataFrame, hit_length: i
 def pileup(reads: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11, similarity: float = 0.8) -> DataFrame:
     """(seq_idx, pos, base, depth): matching bases of reads' near-best overlaps, each distinct sequence aligned once."""
     common.ship(reads.sparkSession)
-    rows = alleles.orderBy("seq_idx").select("seq_idx", "seq").collect()
-    shared = reads.sparkSession.sparkContext.broadcast(([r.seq_idx for r in rows], [r.seq for r in rows]))
+    shared = common.shared_panel(alleles)
 
     def run(batches):
         import pyarrow as pa
 
         ids, seqs = shared.value
-        index = align.Index(seqs, k)
+        index = align.index_of(seqs, k)
         for batch in batches:
             out = []
             for seq, n in zip(batch.column("seq").to_pylist(), batch.column("n").to_pylist(), strict=True):
@@ -125,14 +122,13 @@ def exon_cells(piled: DataFrame, alleles: DataFrame) -> DataFrame:
 def sample_pileup(reads: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11, similarity: float = 0.8) -> DataFrame:
     """(sample, seq_idx, pos, base, depth) of reads (sample, seq): cells of a distinct sequence are made once and joined to its samples."""
     common.ship(reads.sparkSession)
-    rows = alleles.orderBy("seq_idx").select("seq_idx", "seq").collect()
-    shared = reads.sparkSession.sparkContext.broadcast(([r.seq_idx for r in rows], [r.seq for r in rows]))
+    shared = common.shared_panel(alleles)
 
     def run(batches):
         import pyarrow as pa
 
         ids, seqs = shared.value
-        index = align.Index(seqs, k)
+        index = align.index_of(seqs, k)
         for batch in batches:
             out = [(seq, ids[i], at, base) for seq in batch.column("seq").to_pylist() for i, at, base in align.assign(index, seq, hit_length, similarity)[1]]
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.string()]

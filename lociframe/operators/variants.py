@@ -23,14 +23,13 @@ def aligned_columns(fragments: DataFrame, alleles: DataFrame, abundance: dict[in
     alleles; read_pos counts on the strand that was aligned.
     """
     common.ship(fragments.sparkSession)
-    rows = alleles.orderBy("seq_idx").select("seq_idx", "seq").collect()
-    shared = fragments.sparkSession.sparkContext.broadcast(([r.seq_idx for r in rows], [r.seq for r in rows], abundance))
+    shared = common.shared_panel(alleles)  # abundance has a number for each of its sequences
 
     def run(batches):
         import pyarrow as pa
 
-        ids, seqs, share = shared.value
-        index = align.Index(seqs, k)
+        (ids, seqs), share = shared.value, abundance
+        index = align.index_of(seqs, k)
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
         for batch in batches:

@@ -14,6 +14,5 @@ from ..operators import common, extract
 def candidate_stream(reads: DataFrame, alleles: DataFrame, hit_length: int, k: int, similarity: float = 0.8) -> DataFrame:
     """Rows of a streaming DataFrame (seq1, optionally seq2) of which a mate hits an allele of the (static) panel."""
     common.ship(reads.sparkSession)
-    panel = alleles.orderBy("seq_idx").select("seq").toPandas()["seq"].tolist()
-    found = extract.hits_panel(reads.sparkSession, panel, k, max(hit_length, k), similarity)
+    found = extract.hits_panel(common.shared_panel(alleles), k, max(hit_length, k), similarity)
     return reads.where(extract.either_mate(found, "seq2" in reads.columns))

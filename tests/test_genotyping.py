@@ -182,6 +182,29 @@ def test_repeats_are_passed_over_as_in_the_kernel(spark, monkeypatch):
     assert got == want
 
 
+def test_panel_index_has_the_relational_postings(spark):
+    rng = random.Random(8)
+    panel = ["", "ACGT", "A" * 30, "ACGTN" * 8, "acgt" * 5] + [bases(rng, 80) for _ in range(5)]
+    alleles = spark.createDataFrame(list(enumerate(panel)), "seq_idx long, seq string")
+    want = sorted((r.kmer, r.seq_idx, r.offset) for r in kmer.postings(alleles, 5).collect())
+    index = align.Index(panel, 5)
+    got = {(s[o : o + 5], i, at) for s in panel for o, (a, b) in enumerate(index.found(s)) for i, at in zip(index._seq[a:b].tolist(), index._at[a:b].tolist(), strict=True)}
+    assert sorted(got) == want
+    assert align.Index([], 5).hits("ACGTACGT") == {} and align.index_of(panel, 5) is align.index_of(panel, 5)
+    with pytest.raises(ValueError):
+        align.Index(panel, 32)
+
+
+def test_panels_are_counted_before_they_are_sent(spark):
+    alleles = spark.createDataFrame([(1, "ACGT"), (0, "AC")], "seq_idx long, seq string")
+    assert common.shared_panel(alleles, 8).value == ([0, 1], ["AC", "ACGT"])
+    assert common.shared_panel(alleles.where("seq_idx > 5")).value == ([], [])
+    with pytest.raises(ValueError, match="above"):
+        common.shared_panel(alleles, 7)
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        common.collected(alleles, 1)
+
+
 def test_increasing_run():
     r = random.Random(2)
     for _ in range(200):
