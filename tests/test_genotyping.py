@@ -3,6 +3,7 @@
 import gzip
 import random
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -364,7 +365,17 @@ def test_read_panel(spark, tmp_path):
     assert [r.name for r in only.collect()] == ["B*001"]
 
 
-def bam_bytes(header, refs, records):
+def blocked(data, size):
+    """data as a chain of blocks of `size` bytes, cut without regard to records, with the empty block at the end."""
+    out = b""
+    for part in [data[i : i + size] for i in range(0, len(data), size)] + [b""]:
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(part) + c.flush()
+        out += aligned.BLOCK + struct.pack("<H", len(aligned.BLOCK) + 2 + len(body) + 8 - 1) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+def bam_bytes(header, refs, records, pack=gzip.compress):
     out = b"BAM\x01" + struct.pack("<i", len(header)) + header.encode() + struct.pack("<i", len(refs))
     for name in refs:
         out += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", 1000)
@@ -374,7 +385,7 @@ def bam_bytes(header, refs, records):
         body = struct.pack("<iiBBHHHiiii", tid, pos, len(name) + 1, 0, 0, len(ops), flags, len(seq), -1, -1, 0) + name.encode() + b"\0"
         body += b"".join(struct.pack("<I", n << 4 | aligned.OPS.index(op)) for n, op in ops) + packed + bytes(ord(q) - 33 for q in qual)
         out += struct.pack("<i", len(body)) + body
-    return gzip.compress(out)
+    return pack(out)
 
 
 def test_sam_and_bam_agree(spark, tmp_path):
@@ -391,6 +402,43 @@ def test_sam_and_bam_agree(spark, tmp_path):
     assert ("q1", 147, 0, 50, "2M3N2M", "TACC", "DCBA") in row(a)
 
 
+def test_bam_is_read_in_splits(spark, tmp_path):
+    r = random.Random(4)
+    recs = []
+    for i in range(900):
+        n = r.choice([0, 1, 50, 151, 151, 151] + [9000] * (i % 97 == 0))
+        seq = bases(r, n)
+        recs.append((f"read.{i}", 4 if i % 5 == 0 else 16, -1 if i % 5 == 0 else i % 2, i - 1, [(n, "M")] if i % 5 else [], seq, "".join(chr(33 + r.randrange(40)) for _ in seq)))
+    head = "@HD\tVN:1.6\tSO:unsorted\n@SQ\tSN:chr1\tLN:1000\n@SQ\tSN:chr2\tLN:1000\n"
+    names = ["chr1", "chr2"]
+    place = tmp_path / "bams"
+    place.mkdir()
+    (place / "a.bam").write_bytes(bam_bytes(head, names, recs[:700], lambda d: blocked(d, 1500)))
+    (place / "b.bam").write_bytes(bam_bytes(head, names, recs[700:], lambda d: blocked(d, 60_000)))
+    (place / "c.bam").write_bytes(bam_bytes(head, names, [], lambda d: blocked(d, 100)))
+    (tmp_path / "whole.bam").write_bytes(bam_bytes(head, names, recs))
+    listed = lambda df: [tuple(x) for x in df.orderBy("rec").collect()]
+    want = listed(aligned.read_bam(spark, str(tmp_path / "whole.bam"))[1])
+    assert [x[0] for x in want] == list(range(900)) and [x[1] for x in want] == [x[0] for x in recs]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("2000", "7001", "128MB"):  # a split may be smaller than a record
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            h, df = aligned.read_bam(spark, str(place))
+            assert h == head and listed(df) == want
+            assert "binaryFile" not in df._jdf.queryExecution().toString()
+        # a file whose end is missing, and one with a damaged block
+        whole = (place / "a.bam").read_bytes()
+        for name, data in (("cut", whole[:-40]), ("bent", whole[:3000] + bytes([whole[3000] ^ 255]) + whole[3001:])):
+            (tmp_path / f"{name}.bam").write_bytes(data)
+            with pytest.raises(Exception):  # noqa: B017
+                aligned.read_bam(spark, str(tmp_path / f"{name}.bam"))[1].collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
 def test_database_and_gtf(spark, tmp_path):
     entry = "ID   X\nFT   CDS\nFT                   /allele=\"{}\"\nFT   exon            {}\nFT   exon            {}\n{}SQ   Sequence\n     acgtac gtacgt 12\n     acgt 16\n//\n"
     (tmp_path / "x.dat").write_text(entry.format("A*01:01", "2..4", "8..10", "") + entry.format("A*01:02", "2..4", "8..10", "FT                   /pseudo\n") + entry.format("A*01:03", "2..4", "8..10", "FT                   /partial\n"))
