@@ -42,11 +42,12 @@ def map_reads(reads: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11
     return reads.select("read_id", F.col("seq").alias("key")).join(found, "key").drop("key")
 
 
-def fragment_assignments(fragments: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11, similarity: float = 0.8, most: int = 2000, prefilter: float = 0.0) -> DataFrame:
+def fragment_assignments(fragments: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11, similarity: float = 0.8, most: int = 2000, prefilter: float = 0.0, whitelist: DataFrame | None = None) -> DataFrame:
     """(sample, read_id, seq_idx, start, end, weight, qual, adjust) of fragments (sample, read_id, seq1, seq2 or null).
 
     Mates of one fragment are aligned, paired and weighed in one call; a fragment with more than `most` alleles, or with
-    a place that touches a separator, has none.
+    a place that touches a separator, has none. With a whitelist (seq_idx) only its alleles are returned; the others still
+    count towards `most` and the fragment's best similarity.
     """
     common.ship(fragments.sparkSession)
     shared = common.shared_panel(alleles)
@@ -86,9 +87,10 @@ def fragment_assignments(fragments: DataFrame, alleles: DataFrame, hit_length: i
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names)
 
     own = fragments if "seq2" in fragments.columns else fragments.withColumn("seq2", F.lit(None).cast("string"))
-    return own.select(F.col("sample").cast("string").alias("sample"), F.col("read_id").cast("long").alias("read_id"), "seq1", "seq2").mapInArrow(
+    found = own.select(F.col("sample").cast("string").alias("sample"), F.col("read_id").cast("long").alias("read_id"), "seq1", "seq2").mapInArrow(
         run, "sample string, read_id long, seq_idx long, start int, end int, weight float, qual float, adjust float"
     )
+    return found if whitelist is None else found.join(common.small(whitelist.select("seq_idx").distinct()), "seq_idx", "left_semi").select(*found.columns)
 
 
 def pileup(reads: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11, similarity: float = 0.8) -> DataFrame:

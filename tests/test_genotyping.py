@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lociframe import cli
 from lociframe.functions import maths
 from lociframe.functions import sequence as S
-from lociframe.operators import align, assign, cohort, common, components, extract, frequency, genotype, kmer, refbuild, variants
+from lociframe.operators import align, assign, cohort, common, components, extract, frequency, genotype, kmer, mapping, refbuild, variants
 from lociframe.plans import pipeline
 from lociframe.sources import aligned, fastx, formats, tables
 from lociframe.streaming.candidates import candidate_stream
@@ -241,6 +241,18 @@ def test_overlaps_and_fragments():
     assert over and over[0].right_clip == 30
 
 
+def test_whitelist_keeps_the_weights_of_all(spark):
+    r = random.Random(6)
+    ref = [bases(r, 300) for _ in range(2)]
+    ref.append(ref[0][:150] + ("A" if ref[0][150] != "A" else "C") + ref[0][151:])
+    alleles = spark.createDataFrame(list(enumerate(ref)), "seq_idx long, seq string")
+    frags = spark.createDataFrame([("s", i, s[100:200], None) for i, s in enumerate(ref)], "sample string, read_id long, seq1 string, seq2 string")
+    rows = lambda only: sorted(tuple(x) for x in mapping.fragment_assignments(frags, alleles, 27, whitelist=only).collect())
+    every = rows(None)
+    assert {(x[1], x[2]) for x in every} == {(0, 0), (0, 2), (1, 1), (2, 0), (2, 2)}
+    assert rows(alleles.where("seq_idx > 0")) == [x for x in every if x[2] > 0] and rows(alleles.where("seq_idx > 9")) == []
+
+
 def test_kmer_gate_agrees_with_the_kernel(spark):
     r = random.Random(5)
     ref = [bases(r, 300) for _ in range(4)]
