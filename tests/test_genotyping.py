@@ -244,7 +244,7 @@ def test_overlaps_and_fragments():
 def test_whitelist_keeps_the_weights_of_all(spark):
     r = random.Random(6)
     ref = [bases(r, 300) for _ in range(2)]
-    ref.append(ref[0][:150] + ("A" if ref[0][150] != "A" else "C") + ref[0][151:])
+    ref.append(ref[0][:250] + ("A" if ref[0][250] != "A" else "C") + ref[0][251:])  # alike where the reads are
     alleles = spark.createDataFrame(list(enumerate(ref)), "seq_idx long, seq string")
     frags = spark.createDataFrame([("s", i, s[100:200], None) for i, s in enumerate(ref)], "sample string, read_id long, seq1 string, seq2 string")
     rows = lambda only: sorted(tuple(x) for x in mapping.fragment_assignments(frags, alleles, 27, whitelist=only).collect())
