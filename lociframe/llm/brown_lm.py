@@ -377,7 +377,7 @@ def sequences(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
             else:
                 log_of[u] = math.log10(n + 1)
         byte = m.label.astype(np.uint8)
-        names = ["rid", "word", "at", "u", "doc_id", "held_out", "n_tokens", "n_known", "base", "emitted", "seq"]
+        fields = ["doc_id", "held_out", "n_tokens", "n_known", "base", "emitted", "seq"]
         for batch in C.sliced(batches, 200):
             n, words, begin = batch.num_rows, [], [0]
             for text in batch.column("text").to_pylist():
@@ -399,6 +399,9 @@ def sequences(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
             other = np.nonzero(~known)[0]
             k, at = len(other), other - begin[row[other]]
             none, rid = pa.nulls, batch.column("rid").to_numpy()
+            seqs = pa.array([seq[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths + 1), pa.array(np.bincount(row[known], minlength=n)), pa.array(base), pa.array(emitted), seqs]
+            own = pa.StructArray.from_arrays(columns, fields)
             # a text's own row has a word that no text can have, a space and its number: it meets no count, and no two share it
             yield pa.RecordBatch.from_arrays(
                 [
@@ -406,23 +409,16 @@ def sequences(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
                     pa.array([*(b" %d" % r for r in rid.tolist()), *map(words.__getitem__, other.tolist())], pa.binary()),
                     pa.concat_arrays([none(n, pa.int32()), pa.array(at.astype(np.int32))]),
                     pa.concat_arrays([none(n, pa.int32()), pa.array(u[other].astype(np.int32))]),
-                    pa.concat_arrays([batch.column("doc_id"), none(k, batch.column("doc_id").type)]),
-                    pa.concat_arrays([batch.column("held_out"), none(k, pa.bool_())]),
-                    pa.concat_arrays([pa.array(lengths + 1), none(k, pa.int64())]),
-                    pa.concat_arrays([pa.array(np.bincount(row[known], minlength=n)), none(k, pa.int64())]),
-                    pa.concat_arrays([pa.array(base), none(k, pa.float64())]),
-                    pa.concat_arrays([pa.array(emitted), none(k, pa.float64())]),
-                    pa.concat_arrays([pa.array([seq[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()), none(k, pa.binary())]),
+                    pa.concat_arrays([own, none(k, own.type)]),
                 ],
-                names,
+                ["rid", "word", "at", "u", "own"],
             )
 
     source = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out.alias("held_out"), C.as_bytes(F.col("text")).alias("text"))
-    rows = source.mapInArrow(run, f"rid long, word binary, at int, u int, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, emitted double, seq binary")
+    rows = source.mapInArrow(run, f"rid long, word binary, at int, u int, own struct<doc_id: {kind}, held_out: boolean, n_tokens: long, n_known: long, base: double, emitted: double, seq: binary>")
     met = rows.join(model.words.select("word", "n", "c"), "word", "left")
-    own = ["doc_id", "held_out", "n_tokens", "n_known", "base", "emitted", "seq"]
     other = F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "u", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("c", F.lit(-1)).alias("c"))))
-    per_text = met.groupBy("rid").agg(*(F.max(x).alias(x) for x in own), other.alias("other")).drop("rid")
+    per_text = met.groupBy("rid").agg(F.max("own").alias("own"), other.alias("other")).select("own.*", "other")
 
     def patch(batches):
         import numpy as np
