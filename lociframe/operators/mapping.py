@@ -42,6 +42,28 @@ def map_reads(reads: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11
     return reads.select("read_id", F.col("seq").alias("key")).join(found, "key").drop("key")
 
 
+def candidates(index: align.Index, batch, hit_length: int):
+    """The fragments of an Arrow batch (seq1, seq2) of which a mate may have overlaps; the others can't have any."""
+    import pyarrow as pa
+
+    may = [index.may_chain([s or "" for s in batch.column(c).to_pylist()], hit_length) for c in ("seq1", "seq2")]
+    return batch.filter(pa.array(may[0] | may[1]))
+
+
+def near_panel(fragments: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11) -> DataFrame:
+    """The fragments (sample, read_id, seq1, seq2) of which a mate may have overlaps; placements and pileups of all are those of these."""
+    common.ship(fragments.sparkSession)
+    shared = common.shared_panel(alleles)
+
+    def run(batches):
+        index = align.index_of(shared.value[1], k)
+        for batch in batches:
+            yield candidates(index, batch, hit_length)
+
+    own = fragments.select("sample", "read_id", "seq1", "seq2")
+    return own.mapInArrow(run, own.schema)
+
+
 def fragment_assignments(fragments: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11, similarity: float = 0.8, most: int = 2000, prefilter: float = 0.0, whitelist: DataFrame | None = None) -> DataFrame:
     """(sample, read_id, seq_idx, start, end, weight, qual, adjust) of fragments (sample, read_id, seq1, seq2 or null).
 
@@ -72,7 +94,7 @@ def fragment_assignments(fragments: DataFrame, alleles: DataFrame, hit_length: i
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.float32(), pa.float32()]
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for r in candidates(index, batch, hit_length).to_pylist():
                 a, b = r["seq1"] or "", r.get("seq2")
                 found = align.fragments(mapped(a), None if b is None else mapped(b), seqs, hit_length)
                 if not found or len(found) > most or any(align.crosses(seqs[f.seq_idx], f.start, f.end) for f in found):
@@ -122,10 +144,20 @@ def exon_cells(piled: DataFrame, alleles: DataFrame) -> DataFrame:
 
 
 def sample_pileup(reads: DataFrame, alleles: DataFrame, hit_length: int, k: int = 11, similarity: float = 0.8) -> DataFrame:
-    """(sample, seq_idx, pos, base, depth) of reads (sample, seq): cells of a distinct sequence are made once and joined to its samples."""
+    """(sample, seq_idx, pos, base, depth) of reads (sample, seq): cells of a distinct sequence are made once and joined to its samples.
+
+    Reads that can't have overlaps are left out first, so that only the others are shuffled.
+    """
     common.ship(reads.sparkSession)
     shared = common.shared_panel(alleles)
 
+    def kept(batches):
+        import pyarrow as pa
+
+        index = align.index_of(shared.value[1], k)
+        for batch in batches:
+            yield batch.filter(pa.array(index.may_chain([s or "" for s in batch.column("seq").to_pylist()], hit_length)))
+
     def run(batches):
         import pyarrow as pa
 
@@ -136,8 +168,9 @@ def sample_pileup(reads: DataFrame, alleles: DataFrame, hit_length: int, k: int
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["key", "seq_idx", "pos", "base"])
 
-    cells = reads.select("seq").where(F.length("seq") >= k).distinct().mapInArrow(run, "key string, seq_idx long, pos int, base string")
-    n = reads.groupBy("sample", F.col("seq").alias("key")).agg(F.count("*").alias("n"))
+    own = reads.select("sample", "seq").where(F.length("seq") >= k).mapInArrow(kept, f"sample {dict(reads.dtypes)['sample']}, seq string")
+    n = common.stored(own.groupBy("sample", F.col("seq").alias("key")).agg(F.count("*").alias("n")), "kept-reads")
+    cells = n.select(F.col("key").alias("seq")).distinct().mapInArrow(run, "key string, seq_idx long, pos int, base string")
     return cells.join(n, "key").groupBy("sample", "seq_idx", "pos", "base").agg(F.sum("n").alias("depth"))
 
 

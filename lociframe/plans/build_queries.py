@@ -68,10 +68,17 @@ def _fragments(spark, sf_dir, changed: bool = False):
     own = a.unionByName(adapt.reads(spark, sf_dir).select((F.col("read_id") * 2 + 1).alias("source"), "seq")).where("seq <> ''")
     step = F.when(F.col("source") % 2 == 0, 10).otherwise(55)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length("seq") - 130) / step).cast("int")))
-    own = own.select("source", "seq", F.explode(starts).alias("k")).withColumn("piece", F.substring(F.col("seq"), F.col("k") * step + 1, F.lit(130)))
-    mate = F.when(F.length("piece") == 130, S.reverse_complement(F.substring("piece", 71, 60)))
+    # bytes, of which a piece is cut out without walking there; a mate's reverse complement is a piece of the whole one's
+    own = own.select("source", F.length("seq").alias("n"), step.alias("step"), starts.alias("starts"), F.col("seq").cast("binary").alias("seq"), S.reverse_complement("seq").cast("binary").alias("back"))
+
+    def cut(k):
+        at = k * F.col("step")
+        whole = F.col("n") - at >= 130
+        return F.struct(F.substring("seq", at + 1, F.when(whole, 60).otherwise(130)).alias("seq1"), F.when(whole, F.substring("back", F.col("n") - at - 129, F.lit(60))).alias("seq2"))
+
+    own = own.select("source", F.posexplode(F.transform("starts", cut)).alias("k", "piece"))
     sample = F.concat(F.lit("S"), (F.col("source") % 4).cast("string"))
-    return own.select(sample.alias("sample"), (F.col("source") * 1_000_000 + F.col("k")).alias("read_id"), F.when(mate.isNotNull(), F.substring("piece", 1, 60)).otherwise(F.col("piece")).alias("seq1"), mate.alias("seq2"))
+    return own.select(sample.alias("sample"), (F.col("source") * 1_000_000 + F.col("k")).alias("read_id"), F.col("piece.seq1").cast("string").alias("seq1"), F.col("piece.seq2").cast("string").alias("seq2"))
 
 
 def fragment_placements(spark, sf_dir):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import maths
@@ -74,23 +75,41 @@ def candidate_reads(fragments: DataFrame, panel: DataFrame, settings: Settings =
 class Run:
     """One call of many samples: fragments (sample, read_id, seq1, seq2 or null) against a panel.
 
-    Placements and pileups are written to the shared folder, as calls, chosen alleles, metrics and variants all read them.
+    Placements and pileups are written to the shared folder, as calls, chosen alleles, metrics and variants all read them;
+    each is made when it is first asked for.
     """
 
     def __init__(self, fragments: DataFrame, panel: DataFrame, settings: Settings = Settings()):
         self.fragments, self.settings = fragments if "seq2" in fragments.columns else fragments.withColumn("seq2", F.lit(None).cast("string")), settings
         self.panel = described(panel)
-        longest = fragments.agg(F.max(F.length("seq1"))).first()[0] or 0
-        self.options = replace(settings.options, read_length=int(longest))
         self.hit_length = max(27, INDEX_K)
-        self.hits = common.stored(mapping.fragment_assignments(self.fragments, self.panel, self.hit_length, INDEX_K, settings.similarity, settings.max_alleles, settings.prefilter), "hits")
-        self.similar = gene_similarity(self.panel)
         self._stats = None
 
+    @cached_property
+    def _near(self) -> tuple[DataFrame, int]:
+        """Fragments that may have a placement, and the longest first mate of all: one pass over the fragments for all results."""
+        seen = Observation()
+        own = self.fragments.observe(seen, F.max(F.length("seq1")).alias("longest"))
+        near = common.stored(mapping.near_panel(own, self.panel, self.hit_length, INDEX_K), "near")
+        return near, int(seen.get["longest"] or 0)
+
+    @cached_property
+    def options(self) -> genotype.Options:
+        return replace(self.settings.options, read_length=self._near[1])
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        s = self.settings
+        return common.stored(mapping.fragment_assignments(self._near[0], self.panel, self.hit_length, INDEX_K, s.similarity, s.max_alleles, s.prefilter), "hits")
+
+    @cached_property
+    def similar(self) -> dict[tuple[str, str], float]:
+        return gene_similarity(self.panel)
+
     def coverage(self) -> DataFrame:
         """(sample, seq_idx, cov_min, cov_p10, cov_median, frac_covered, missing) over exon bases."""
         if self._stats is None:
-            mates = self.fragments.select("sample", F.explode(F.array("seq1", "seq2")).alias("seq")).where("seq is not null")
+            mates = self._near[0].select("sample", F.explode(F.array("seq1", "seq2")).alias("seq")).where("seq is not null")
             # each distinct sequence is aligned once, whatever its sample
             piled = mapping.sample_pileup(mates, self.panel, self.hit_length, INDEX_K, self.settings.similarity)
             cells = mapping.exon_cells_by_sample(piled, self.panel)

@@ -241,6 +241,65 @@ def test_overlaps_and_fragments():
     assert over and over[0].right_clip == 30
 
 
+@pytest.mark.parametrize(("k", "hit_length", "most"), [(11, 27, 512), (11, 11, 512), (5, 27, 512), (5, 9, 40), (15, 30, 512)])
+def test_reads_without_a_chain_are_known_without_the_kernel(k, hit_length, most):
+    r = random.Random(k * hit_length)
+    panel = ["", "ACG", "A" * 60, "ACGTN" * 8] + [bases(r, 150) for _ in range(8)]
+    index = align.Index(panel, k)
+    reads = ["", "ACGT", "N" * 40, "A" * 50, "acgt" * 9, "\u00e9" * 30, bases(r, 300_000)] + [bases(r, 60) for _ in range(150)]
+    for _ in range(150):  # pieces of alleles, with changes, losses and other text around them
+        own = panel[r.randrange(4, 12)]
+        a, n = r.randrange(120), r.randrange(k, 60)
+        piece = list(bases(r, r.randrange(30)) + own[a : a + n] + bases(r, r.randrange(30)))
+        for _ in range(r.randrange(4)):
+            piece[r.randrange(len(piece))] = r.choice(["A", "N", "", "CG"])
+        reads.append("".join(piece) if r.random() < 0.5 else align.revcomp("".join(piece)))
+    got = index.may_chain(reads, hit_length, most)
+    chained = []
+    for s in reads:
+        buckets = index.hits(s) if len(s) >= k else {}
+        chained.append(any(True for key in buckets for _ in align.chain(*key, buckets[key], k, hit_length)))
+    assert any(chained) and not any(c and not g for c, g in zip(chained, got.tolist(), strict=True))
+    assert k < 11 or not got[7:157].any()  # unrelated reads
+    assert index.may_chain([], hit_length).tolist() == [] and not align.Index([], k).may_chain(reads, hit_length).any()
+
+
+def test_only_fragments_that_may_chain_reach_the_kernel(spark):
+    import pyarrow as pa
+
+    r = random.Random(5)
+    panel = [bases(r, 300) for _ in range(3)]
+    rows = [("s", i, bases(r, 60), bases(r, 60) if i % 2 else None) for i in range(300)] + [("s", 300, panel[1][:60], None), ("s", 301, bases(r, 60), align.revcomp(panel[2][90:150])), ("s", 302, None, None)]
+    frags = spark.createDataFrame(rows, "sample string, read_id long, seq1 string, seq2 string")
+    batch = pa.RecordBatch.from_pylist([{"read_id": i, "seq1": a, "seq2": b} for _, i, a, b in rows])
+    assert mapping.candidates(align.Index(panel, 11), batch, 27).column("read_id").to_pylist() == [300, 301]
+    alleles = spark.createDataFrame([(i, f"G*0{i}", [{"s": 0, "e": len(s) - 1}], s, 1) for i, s in enumerate(panel)], "seq_idx long, name string, exons array<struct<s:int,e:int>>, seq string, weight int")
+    run = pipeline.Run(frags, alleles)
+    assert {"hits", "_near", "similar"}.isdisjoint(vars(run))  # nothing is mapped before it is asked for
+    assert run._near[0].count() == 2 and run.options.read_length == 60
+    assert {(x.read_id, x.seq_idx) for x in run.hits.collect()} >= {(300, 1)}
+    assert {x.seq_idx: x.cov_min for x in run.coverage().collect()} == {0: 0, 1: 0, 2: 0} and run.coverage().agg(F.max("frac_covered")).first()[0] == 0.2
+    none = pipeline.Run(frags.where("read_id < 0"), alleles)
+    assert none.calls().count() == 0 and none.options.read_length == 0
+
+
+def test_fragments_are_the_pieces_of_their_sequences(spark, tmp_path):
+    from lociframe.plans import build_queries
+
+    texts = ["", None, "Ab c", "q" * 129, "the end " * 40, "wx yz!" * 400]
+    spark.createDataFrame([(0, "b d " * 80)], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    swap = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ACGT" * 6 + "AC")
+    want = set()
+    for source, step, text in [(0, 10, "b d " * 80)] + [(2 * i + 1, 55, t or "") for i, t in enumerate(texts)]:
+        seq = "".join(c for c in text.lower() if c.isalpha()).translate(swap)
+        for k in range(max(0, -((130 - len(seq)) // step)) + 1 if seq else 0):
+            p = seq[k * step : k * step + 130]
+            want.add((f"S{source % 4}", source * 1_000_000 + k, p[:60] if len(p) == 130 else p, align.revcomp(p[70:]) if len(p) == 130 else None))
+    got = [tuple(x) for x in build_queries._fragments(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_whitelist_keeps_the_weights_of_all(spark):
     r = random.Random(6)
     ref = [bases(r, 300) for _ in range(2)]
