@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import maths
-from . import align, common
+from . import align, common, mapping
 from . import components as stars
 
 COLUMNS = "frag long, mate int, seq_idx long, pos int, base string, read_pos int, op int, match int, similarity double, weight double"
@@ -34,7 +34,7 @@ def aligned_columns(fragments: DataFrame, alleles: DataFrame, abundance: dict[in
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for r in mapping.candidates(index, batch, hit_length).to_pylist():
                 a, b = r["seq1"] or "", r["seq2"]
                 found = align.fragments(align.assign(index, a, hit_length, similarity)[0], None if b is None else align.assign(index, b, hit_length, similarity)[0], seqs, hit_length)
                 total = sum(share.get(ids[f.seq_idx], 0.0) for f in found)

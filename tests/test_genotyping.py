@@ -695,6 +695,18 @@ def test_partitioning_does_not_matter(spark, study):
     assert all(len(x) == 1 for x in rows.values())  # both samples, both partitionings
 
 
+def test_variant_lines_need_no_run_of_the_unchanged_fragments(spark, tmp_path, monkeypatch):
+    from lociframe.plans import build_queries
+
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    spark.createDataFrame([(i, text(260)) for i in range(2)], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, text(700)) for i in range(3)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(mapping, "fragment_assignments", lambda *a, **b: pytest.fail("placements that no result reads"))
+    # every hundredth base is another one, and five fragments or more cover it
+    assert sorted(x.value.split(" ")[1] for x in build_queries.variant_lines(spark, str(tmp_path)).collect()) == ["100", "100", "200", "200"]
+
+
 def test_candidate_stream(spark, tmp_path, study):
     panel, _, first, _, _ = study
     reads = spark.createDataFrame([(s,) for s in first], "seq1 string")
