@@ -707,6 +707,23 @@ def test_variant_lines_need_no_run_of_the_unchanged_fragments(spark, tmp_path, m
     assert sorted(x.value.split(" ")[1] for x in build_queries.variant_lines(spark, str(tmp_path)).collect()) == ["100", "100", "200", "200"]
 
 
+def test_a_run_reads_its_fragments_once(spark, study):
+    panel, truth, first, second, _ = study
+    p = spark.createDataFrame([(i, n, [{"s": 0, "e": len(s) - 1}], s, 1) for i, (n, s) in enumerate(panel)], "seq_idx long, name string, exons array<struct<s:int,e:int>>, seq string, weight long")
+    frags = spark.createDataFrame([("S", i, a, b) for i, (a, b) in enumerate(zip(first, second, strict=True))], "sample string, read_id long, seq1 string, seq2 string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    run = pipeline.Run(frags.mapInArrow(counted, frags.schema), p)
+    got = {x.gene: {a for a in (x.allele1, x.allele2) if a != "."} for x in run.calls().collect()}
+    assert got == {g: set(n) for g, n in truth.items()} and run.metrics().count() == 3 and run.chosen().count() == 3
+    assert read.value == len(first)
+
+
 def test_candidate_stream(spark, tmp_path, study):
     panel, _, first, _, _ = study
     reads = spark.createDataFrame([(s,) for s in first], "seq1 string")
