@@ -170,7 +170,10 @@ def sample_pileup(reads: DataFrame, alleles: DataFrame, hit_length: int, k: int
 
     own = reads.select("sample", "seq").where(F.length("seq") >= k).mapInArrow(kept, f"sample {dict(reads.dtypes)['sample']}, seq string")
     n = common.stored(own.groupBy("sample", F.col("seq").alias("key")).agg(F.count("*").alias("n")), "kept-reads")
-    cells = n.select(F.col("key").alias("seq")).distinct().mapInArrow(run, "key string, seq_idx long, pos int, base string")
+    # few bytes but much work: over all cores whatever their size
+    spark = reads.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = n.select(F.col("key").alias("seq")).repartition(parts, "seq").distinct().mapInArrow(run, "key string, seq_idx long, pos int, base string")
     return cells.join(n, "key").groupBy("sample", "seq_idx", "pos", "base").agg(F.sum("n").alias("depth"))
 
 

@@ -111,7 +111,7 @@ class Run:
         if self._stats is None:
             mates = self._near[0].select("sample", F.explode(F.array("seq1", "seq2")).alias("seq")).where("seq is not null")
             # each distinct sequence is aligned once, whatever its sample
-            piled = mapping.sample_pileup(mates, self.panel, self.hit_length, INDEX_K, self.settings.similarity)
+            piled = common.stored(mapping.sample_pileup(mates, self.panel, self.hit_length, INDEX_K, self.settings.similarity), "pileup")
             cells = mapping.exon_cells_by_sample(piled, self.panel)
             key = F.concat_ws("\x01", "sample", F.col("seq_idx").cast("string"))
             own = assign.coverage_stats(cells.select(key.alias("seq_idx"), "depth"))
